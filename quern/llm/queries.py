@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import decontaminate, mixing, ngram_join
 
 QUERIES = {
+    "op2_benchmark_decontamination": decontaminate.op2,
+    "op4_source_mixing": mixing.op4,
     "op6_ngram_jaccard_join": ngram_join.op6,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_source_mixing": mixing.OP4_SQL,
+}
