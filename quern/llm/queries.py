@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join
+from . import decontaminate, language, mixing, ngram_join, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2,
     "op4_source_mixing": mixing.op4,
     "op6_ngram_jaccard_join": ngram_join.op6,
+    "op7_language_id": language.op7,
+    "op10_toxicity_chain": toxicity.op10,
 }
 
 ORACLE: dict[str, str] = {
