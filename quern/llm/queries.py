@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, ngram_join, toxicity
+from . import decontaminate, language, mixing, ngram_join, quality_rules, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2,
     "op4_source_mixing": mixing.op4,
     "op6_ngram_jaccard_join": ngram_join.op6,
     "op7_language_id": language.op7,
+    "op8_quality_rules": quality_rules.op8,
     "op10_toxicity_chain": toxicity.op10,
 }
 
