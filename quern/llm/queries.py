@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, ngram_join, quality_rules, toxicity
+from . import decontaminate, html_text, language, mixing, ngram_join, quality_rules, toxicity, warc
 
 QUERIES = {
+    "op1_html_extraction": html_text.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
     "op4_source_mixing": mixing.op4,
+    "op5_warc_transactions": warc.op5,
     "op6_ngram_jaccard_join": ngram_join.op6,
     "op7_language_id": language.op7,
     "op8_quality_rules": quality_rules.op8,
