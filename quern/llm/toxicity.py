@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import binary_values, chunks, discard, stash
 
 FEATURES = 1 << 18
-SAMPLE = 20_000
+SAMPLE = 12_000
 FOLDS = 4
 #: Features of one model, and the fewest sampled documents a feature must occur in.
 CHOSEN, LEAST = 400, 4
@@ -143,11 +143,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], doc_id
 
     ys = [f"y{k}" for k in range(len(names))]
     held, path = stash(rows.mapInArrow(extract, "f array<int>, fold int, " + ", ".join(f"{c} int" for c in ys)), "features")
-    sums = held.select(F.explode("f").alias("f"), "fold", *ys).groupBy("f", "fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ys]).toPandas()
-    count = np.zeros((1 + len(ys), FOLDS, FEATURES))
-    if len(sums):
-        for k, c in enumerate(["n", *ys]):
-            count[k, sums["fold"].to_numpy(), sums["f"].to_numpy()] = sums[c].to_numpy()
+    of = lambda k, c: F.sum(F.when(F.col("fold") == k, F.lit(1) if c == "n" else F.col(c)).otherwise(0)).cast("int").alias(f"{c}_{k}")
+    sums = held.select(F.explode("f").alias("f"), "fold", *ys).groupBy("f").agg(F.count("*").alias("all"), *[of(k, c) for k in range(FOLDS) for c in ("n", *ys)])
+    sums = sums.where(F.col("all") >= LEAST).drop("all").toPandas()  # 2^18 rows of integers at most
+    count = np.zeros((1 + len(ys), FOLDS, FEATURES), np.float32)
+    for k in range(FOLDS):
+        for j, c in enumerate(("n", *ys)):
+            count[j, k, sums["f"].to_numpy()] = sums[f"{c}_{k}"].to_numpy()
+    del sums
     sizes = held.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ys]).toPandas().set_index("fold").reindex(range(FOLDS)).fillna(0)
 
     folds = [*range(FOLDS), None]  # None: all folds, the final models
@@ -155,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], doc_id
     for out in folds:
         use = [f for f in range(FOLDS) if f != out]
         for k, c in enumerate(ys):
-            picked[out, k] = choose(count[0, use].sum(axis=0), count[1 + k, use].sum(axis=0), int(sizes["n"][use].sum()), int(sizes[c][use].sum()))
+            picked[out, k] = choose(count[0, use].sum(axis=0, dtype=float), count[1 + k, use].sum(axis=0, dtype=float), int(sizes["n"][use].sum()), int(sizes[c][use].sum()))
     union = np.unique(np.concatenate(list(picked.values()))).astype(np.int64)
+    del count
     table = spark.sparkContext.broadcast(union)
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
