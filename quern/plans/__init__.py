@@ -1 +1,6 @@
-"""Part of quern."""
+"""Registered queries and their oracle SQL."""
+
+from . import relational
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "relational"]
