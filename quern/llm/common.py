@@ -8,13 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-#: Words a worker remembers the hash of at once (about 50 MB).
-VOCABULARY = 400_000
 #: White space that separates words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,23 +48,62 @@ def discard(spark: SparkSession, *paths: str) -> None:
 # ---- words and shingles ---------------------------------------------------------
 
 
-class WordHash(dict):
-    """Word (bytes) to 64-bit hash; forgets everything when full, which changes no value."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= VOCABULARY:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of a text after lower-casing A-Z. bytes.split() separates at 0x20 and 0x09-0x0D only."""
-    return text.lower().split() if text else []
-
-
-def word_hashes(words: list[bytes], cache: WordHash) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random 64-bit number for each byte, the same for A-Z as for a-z.
+_BYTE = np.random.default_rng(20240501).integers(0, 2**64, 256, np.uint64)
+_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64)
+#: Bytes that are hashed in one go, so that the arrays stay in a core's cache; a longer text is one go.
+_GO = 1 << 18
+
+
+def _powers_to(n: int) -> np.ndarray:
+    """Powers of the base, mod 2^64."""
+    global _powers
+    if len(_powers) < n:
+        _powers = np.cumprod(np.concatenate([[1], np.full(max(n, 256), _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    return _powers
+
+
+def _hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word in the bytes: a polynomial in the word's bytes, mixed."""
+    at = np.flatnonzero(~_SPACE[raw])
+    if not len(at):
+        return np.empty(0, np.uint64), at
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    size = np.diff(np.concatenate([first, [len(at)]]))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    h = np.add.reduceat(_BYTE[raw[at]] * _powers_to(int(size.max()))[place], first)
+    return mix(h + size.astype(np.uint64)), at[first]
+
+
+def text_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of one text, A-Z lower-cased, in order. Words end at 0x20 and 0x09-0x0D only."""
+    return _hash_words(np.frombuffer(text, np.uint8))[0] if text else np.empty(0, np.uint64)
+
+
+def batch_hashes(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+    """text_hashes() of each row of a batch; null: none."""
+    col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
+    n = len(col)
+    if not n:
+        return
+    _, off, data = col.buffers()
+    off = np.frombuffer(off, np.int64)[col.offset : col.offset + n + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    valid = np.ones(n, bool) if not col.null_count else col.is_valid().to_numpy(zero_copy_only=False)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + _GO, "right")) - 1)
+        raw = data[off[i] : off[j]]
+        # a text's last word must not run on into the next text
+        h, at = _hash_words(np.insert(raw, off[i + 1 : j] - off[i], 0x20) if j > i + 1 else raw)
+        cut = np.searchsorted(at, off[i : j + 1] - off[i] + np.arange(j - i + 1))
+        for k in range(j - i):
+            yield h[cut[k] : cut[k + 1]] if valid[i + k] else h[:0]
+        i = j
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,12 +127,12 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(text: bytes | None, cache: WordHash, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct k-word shingles; a shorter text is one shingle of its whole sequence; no words: empty."""
-    h = word_hashes(words_of(text), cache)
+def shingle_set(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct k-word shingles of a text's word hashes; a shorter text is one shingle of its whole sequence; no words: empty."""
     if len(h) == 0:
         return h
-    return np.unique(window_hashes(h, min(k, len(h))))
+    s = np.sort(window_hashes(h, min(k, len(h))))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def binary_values(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

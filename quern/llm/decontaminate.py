@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, WordHash, binary_values, chunks, shingle_set, window_hashes, word_hashes, words_of
+from .common import SHINGLE, batch_hashes, chunks, shingle_set, text_hashes, window_hashes
 
 THRESHOLD = (80, 100)
 BLOCK_CHARS = 32_000_000
@@ -54,10 +54,9 @@ class Items:
     """The shingle sets of a block of items, and their sketches by number of slices."""
 
     def __init__(self, rows: list[tuple[int | None, bytes | None]]):
-        cache = WordHash()
         self.ids, self.sets, self.short = [], [], {}
         for i, text in rows:
-            h = word_hashes(words_of(text), cache)
+            h = text_hashes(text)
             if len(h) == 0:
                 continue
             if len(h) < SHINGLE:  # the whole sequence is its only shingle
@@ -94,15 +93,14 @@ class Items:
                 out.update(at[lo[x] : hi[x]].tolist())
         return out
 
-    def hits(self, text: bytes | None, cache: WordHash) -> list[tuple[int | None, int, int]]:
-        """(item, shared shingles, item's shingles) of each item that the text contains."""
-        h = word_hashes(words_of(text), cache)
+    def hits(self, h: np.ndarray) -> list[tuple[int | None, int, int]]:
+        """(item, shared shingles, item's shingles) of each item that a text of these word hashes contains."""
         out = []
         for m, by_hash in self.short.items():
             for x in np.unique(window_hashes(h, m)).tolist() if len(h) >= m else ():
                 out += [(i, 1, 1) for i in by_hash.get(x, ())]
         if len(h) >= SHINGLE:
-            s = np.unique(window_hashes(h, SHINGLE))
+            s = shingle_set(h)
             for k in self.candidates(s):
                 q = self.sets[k]
                 at = np.searchsorted(s, q)
@@ -137,11 +135,10 @@ def containment(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         table = d.sparkSession.sparkContext.broadcast(block)
 
         def search(it: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            cache = WordHash()
             for batch in chunks(it, BATCH):
                 ids, found = batch.column(0).to_pylist(), []
-                for i, b in zip(ids, binary_values(batch, "text"), strict=True):
-                    found += [(i, *x) for x in table.value.hits(b, cache)]
+                for i, h in zip(ids, batch_hashes(batch, "text"), strict=True):
+                    found += [(i, *x) for x in table.value.hits(h)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc_id", "item_id", "shared", "item_shingles"])
 
@@ -156,9 +153,8 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", i
         table = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(it: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            cache = WordHash()
             for batch in chunks(it, BATCH):
-                yield batch.filter(pa.array([not table.value.hits(b, cache) for b in binary_values(batch, text)], pa.bool_()))
+                yield batch.filter(pa.array([not table.value.hits(h) for h in batch_hashes(batch, text)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

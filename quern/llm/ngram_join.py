@@ -9,11 +9,12 @@ Documents are sets of five-word shingles; two link when 100*|A∩B| >= 80*|A∪B
    post single shingles (k=1) to inverted lists, and so do small sets near the
    boundary, for partners beyond it. The boundary is the largest size at which
    enumeration costs less, from measured shingle frequencies.
-3. Every list links its members to one member (the one with the most shared
-   shingles); verified links make components. Then each list is scanned again,
-   only for pairs that are still in different components, behind a size test
-   and a bitmap bound, and what is left is verified on whole sets. Nothing is
-   capped: a long list is dealt in blocks of members, all pairs of blocks.
+3. Lists are scanned for pairs that a size test and a bitmap bound leave; each scan
+   keeps only as many pairs as hold its members together. Their components are the
+   clusters in which all links lie.
+4. Within a cluster whole sets are compared, dealt in blocks of bounded bytes, all
+   pairs of blocks of like sizes; what is kept of the links holds the linked together.
+   Their components are the answer. No list, cluster or partner is capped.
 """
 
 from __future__ import annotations
@@ -26,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary_values, chunks, components, discard, mix, shingle_set, stash
+from .common import SHINGLE, batch_hashes, chunks, components, discard, mix, shingle_set, stash, window_hashes
 
 THRESHOLD = (80, 100)
 #: Rows of the frequency table that orders shingles (12 MB at most). It decides costs, never results.
 ORDER_ROWS = 1_000_000
 #: Relative cost of one posting and of one comparison in a list.
 POST, SCAN = 1.0, 0.1
-#: Members of a list that are compared in one task; longer lists are dealt in blocks.
-BLOCK = 1024
-#: 64-bit words of a set's bitmap.
-BITMAP = 8
+#: Members of a list, and bytes of sets in a cluster, that one group of a task holds twice at most; more are dealt in blocks.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: 64-bit words of a set's bitmap, and how often per pair it may lose a link of large sets at most.
+BITMAP, LOSS = 8, 1e-12
 BATCH = 512
+#: Ids that may be broadcast (about 64 MB); beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
 
 
 def least_overlap(n, t=THRESHOLD):
@@ -45,14 +48,14 @@ def least_overlap(n, t=THRESHOLD):
     return -(-n * t[0] // t[1])
 
 
-def frequencies(docs: DataFrame, text: str, min_local: int = 3, min_total: int = 8) -> tuple[DataFrame, DataFrame, str]:
+def frequencies(docs: DataFrame, text: str, min_local: int = 3, min_total: int = 16) -> tuple[DataFrame, DataFrame, str]:
     """Shingles seen often, as (h, n), and one row of (occurrences, squares) per task.
 
     A task counts its own rows, and those it saw at least min_local times are summed.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, total, squares = WordHash(), [], 0, 0.0
+        seen, total, squares = [], 0, 0.0
 
         def flush():
             nonlocal seen, total, squares
@@ -66,8 +69,8 @@ def frequencies(docs: DataFrame, text: str, min_local: int = 3, min_total: int =
 
         held = 0
         for batch in chunks(it, BATCH):
-            for b in binary_values(batch, text):
-                s = shingle_set(b, cache)
+            for h in batch_hashes(batch, text):
+                s = window_hashes(h, min(SHINGLE, max(len(h), 1)))
                 held += len(s)
                 seen.append(s)
             if held > 8_000_000:
@@ -101,19 +104,23 @@ def profiles(docs: DataFrame, doc_id: str, text: str, often: tuple[np.ndarray, n
     table = spark.sparkContext.broadcast(often)
 
     def profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         known, count = table.value
+        # most shingles are in no table: a small bit table spares their search
+        flags = np.zeros(1 << 22, bool)
+        flags[known >> np.uint64(42)] = True
         for batch in chunks(it, BATCH):
             ids, n, s1, s2, keys, common, bits = batch.column(0), [], [], [], [], [], []
-            for b in binary_values(batch, text):
-                s = shingle_set(b, cache)
+            for h in batch_hashes(batch, text):
+                s = shingle_set(h)
                 m = len(s)
                 n.append(m)
                 s1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if m else 0)
                 s2.append(int(np.bitwise_xor.reduce(s * np.uint64(0x9FB21C651E98DF25) ^ (s >> np.uint64(28))).view(np.int64)) if m else 0)
-                at = np.searchsorted(known, s) if len(known) else np.zeros(m, np.int64)
-                at[at == len(known)] = 0
-                f = np.where(known[at] == s, count[at], 0) if len(known) and m else np.zeros(m, np.int64)
+                f = np.zeros(m, np.int64)
+                maybe = np.flatnonzero(flags[s >> np.uint64(42)])
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(known, s[maybe]), len(known) - 1)
+                    f[maybe] = np.where(known[at] == s[maybe], count[at], 0)
                 common.append(int((f > 0).sum()))
                 if m < 4:  # at 80 percent such a set has only equal partners
                     keys.append(np.empty(0, np.int64))
@@ -129,8 +136,9 @@ def profiles(docs: DataFrame, doc_id: str, text: str, often: tuple[np.ndarray, n
                     own.append(s[order[: spare + 1]])
                 keys.append(np.concatenate(own).view(np.int64))
                 x = np.zeros(BITMAP * 64, np.uint8)
-                x[(s >> np.uint64(23)) % np.uint64(BITMAP * 64)] = 1
-                bits.append(np.packbits(x).tobytes())
+                at = s >> np.uint64(64 - int(spread(m)))
+                x[at[: np.searchsorted(at, BITMAP * 64)]] = 1
+                bits.append(np.packbits(x, bitorder="little").tobytes())
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -141,110 +149,221 @@ def profiles(docs: DataFrame, doc_id: str, text: str, often: tuple[np.ndarray, n
     return docs.select(F.col(doc_id).alias("doc"), text).mapInArrow(profile, "doc long, n long, s1 long, s2 long, keys array<long>, common long, bits binary")
 
 
-def window_hashes_pair(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A key for each 2-subset, apart from the keys of single shingles."""
-    return mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + mix(high) + np.uint64(0x165667B19E3779F9))
+def spread(n):
+    """Bits of the range over which a set of n is spread: at least two places a shingle. The bitmap holds the first places."""
+    return np.maximum(np.ceil(np.log2(2 * np.maximum(n, 1))), np.log2(BITMAP * 64)).astype(np.int64)
 
 
-def whole_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, shingles) with the sorted set as packed 64-bit numbers."""
+def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with bitmaps x and y can be as similar as asked.
 
-    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
-        for batch in chunks(it, BATCH):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(b, cache).tobytes() for b in binary_values(batch, text)], pa.binary())], ["doc", "shingles"])
-
-    return docs.select(F.col(doc_id).alias("doc"), text).mapInArrow(pack, "doc long, shingles binary")
+    Places that differ are shingles that differ. Where the bitmaps hold whole sets the
+    answer is certain. They hold a share of larger sets, the same part of the hash range
+    for both; the number of differing shingles in it then exceeds its mean by more than
+    Chernoff's bound allows with probability LOSS at most.
+    """
+    keep = np.minimum(n, m) * THRESHOLD[1] >= np.maximum(n, m) * THRESHOLD[0]
+    a, b = spread(n), spread(m)
+    wide = np.maximum(a, b)
+    apart = np.zeros(len(n), np.int64)
+    for case in (0, 1, -1):  # the finer bitmap is folded onto the coarser one; sizes within 80 percent are one step apart at most
+        at = np.flatnonzero(keep & (a - b == case))
+        if len(at):
+            u, v = x[at], y[at]
+            if case:
+                fine, coarse = (u, v) if case > 0 else (v, u)
+                u, v = fold(fine), coarse[:, : BITMAP // 2]
+            apart[at] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+    total = n + m
+    need = -(-total * THRESHOLD[0] // (THRESHOLD[0] + THRESHOLD[1]))
+    most = total - 2 * need  # shingles that may differ
+    share = np.minimum(BITMAP * 64 / np.exp2(wide), 1.0)
+    mean, ln = most * share, -np.log(LOSS)
+    slack = ln / 3 + np.sqrt(ln * ln / 9 + 2 * ln * mean)
+    return keep & (abs(a - b) <= 1) & (apart <= np.where(share < 1, mean + slack, most))
+
+
+def fold(bits: np.ndarray) -> np.ndarray:
+    """A bitmap with neighbouring places merged, in half the words."""
+    x = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").reshape(len(bits), -1, 2).max(axis=2)
+    return np.packbits(x, axis=1, bitorder="little").view(np.uint64)
 
 
-def verify(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are as similar as asked."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = docs.select(F.col(doc_id).alias("doc"), text).join(need, "doc", "left_semi")
-    sets, path = stash(whole_sets(texts, "doc", text), "sets")
+def window_hashes_pair(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A key for each 2-subset, apart from the keys of single shingles."""
+    return mix(low * np.uint64(0xC2B2AE3D27D4EB4F) + mix(high) + np.uint64(0x165667B19E3779F9))
 
-    def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(it, 256):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * THRESHOLD[1] >= THRESHOLD[0] * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    got, _ = stash(both.mapInArrow(test, "a long, b long"), "similar")
-    discard(docs.sparkSession, path)
-    return got
+def groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of rows sorted by their first column, cut so that no group of equal values is split."""
+    rest: list[pa.RecordBatch] = []
+    for batch in it:
+        g = batch.column(0).to_numpy()
+        if not len(g):
+            continue
+        cut = np.flatnonzero(g[1:] != g[:-1]) + 1
+        if len(cut) or rest and rest[-1].column(0)[-1].as_py() != g[0]:
+            at = int(cut[-1]) if len(cut) else 0
+            done = pa.Table.from_batches([*rest, batch.slice(0, at)])
+            if done.num_rows:
+                yield done
+            rest = [batch.slice(at)]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of the component of each of n nodes under the pairs (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        was = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        np.minimum.at(label, was, label)  # roots follow their members
+        label = label[label]
+        if np.array_equal(was, label):
+            break
+    return label
+
+
+#: Groups of up to this many members are compared all at once.
+FEW = 8
 
 
 def scan_lists(lists: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of rows (key, doc, n, comp, bits) that share a key and lie in different components."""
-    spark = lists.sparkSession
-    size = lists.groupBy("key").agg(F.count("*").alias("cnt"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "cnt")
-    d = lists.join(size, "key").withColumn("nb", F.ceil(F.col("cnt") / BLOCK).cast("int"))
-    d = d.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+    """Pairs (a, b) of rows (key, cnt, doc, n, bits) that hold together what shares a key and may link.
+
+    A long list is dealt in blocks, all pairs of blocks; a group gives fewer pairs than members, a few-member one all.
+    """
+    d = lists.withColumn("nb", F.ceil(F.col("cnt") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    d = d.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own") == F.col("other")).alias("same"), "doc", "n", "comp", "bits")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartition(parts, "g").sortWithinPartitions("g")
+    d = d.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("same"), "doc", "n", "bits")
+    d = d.repartition(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        done = object()
-        while True:
-            batch = next(it, done)
-            t = rest if batch is done else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if t is None or t.num_rows == 0:
-                return
-            g = t.column("g").to_numpy()
-            cut = np.flatnonzero(g[1:] != g[:-1]) + 1
-            if batch is done:
-                ends = np.concatenate([cut, [len(g)]])
-            else:  # the last group may go on in the next batch
-                ends, rest = cut, t.slice(int(cut[-1]) if len(cut) else 0)
-            if len(ends):
-                doc, n, comp, side, same = (t.column(c).to_numpy() for c in ("doc", "n", "comp", "side", "same"))
-                bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(g), BITMAP)
-                start, aa, bb = 0, [], []
-                for end in ends.tolist():
-                    if end - start > 1:
-                        i, j = candidates(n[start:end], comp[start:end], side[start:end], bool(same[start]), bits[start:end])
-                        aa.append(doc[start + i])
-                        bb.append(doc[start + j])
-                    start = end
-                if aa:
-                    a, b = np.concatenate(aa), np.concatenate(bb)
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                    if len(a):
-                        u = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-                        yield pa.RecordBatch.from_pandas(u, preserve_index=False)
-            if batch is done:
-                return
+        for t in groups(it):
+            g, right, same, doc, n = (t.column(k).to_numpy() for k in range(5))
+            bits = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(len(g), BITMAP)
+            start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            size = np.diff(np.concatenate([start, [len(g)]]))
+            few = np.repeat(size <= FEW, size)
+            aa, bb = [], []
+            for step in range(1, FEW):
+                i = np.flatnonzero(few[:-step] & (g[step:] == g[:-step]) & (same[step:] | (right[step:] != right[:-step]))) if len(g) > step else start[:0]
+                j = i + step
+                ok = may_link(n[i], n[j], bits[i], bits[j])
+                aa.append(doc[i[ok]])
+                bb.append(doc[j[ok]])
+            for s0, m in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+                own, ii, jj = slice(s0, s0 + m), [], []
+                left = np.arange(m) if same[s0] else np.flatnonzero(~right[own])
+                against = np.arange(m) if same[s0] else np.flatnonzero(right[own])
+                for c in range(0, len(left), 128):
+                    i, j = np.repeat(left[c : c + 128], len(against)), np.tile(against, len(left[c : c + 128]))
+                    if same[s0]:
+                        i, j = i[i < j], j[i < j]
+                    ok = may_link(n[own][i], n[own][j], bits[own][i], bits[own][j])
+                    ii.append(i[ok])
+                    jj.append(j[ok])
+                label = spanning(np.concatenate(ii or [left[:0]]), np.concatenate(jj or [left[:0]]), m)
+                k = np.flatnonzero(label != np.arange(m))
+                aa.append(doc[own][k])
+                bb.append(doc[own][label[k]])
+            a, b = np.concatenate(aa), np.concatenate(bb)
+            u = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b").drop_duplicates()
+            if len(u):
+                yield pa.RecordBatch.from_pandas(u, preserve_index=False)
 
     return d.mapInArrow(scan, "a long, b long").distinct()
 
 
-def candidates(n, comp, side, same, bits):
-    """Index pairs of one group that differ in component and pass the size test and the bitmap bound."""
-    if same:
-        i, j = np.triu_indices(len(n), 1)
-    else:
-        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        i, j = np.repeat(l, len(r)), np.tile(r, len(l))
-    keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * THRESHOLD[1] >= np.maximum(n[i], n[j]) * THRESHOLD[0])
-    i, j = i[keep], j[keep]
-    if len(i):
-        # differing bits are differing shingles at least: |A|+|B|-2*both >= apart
-        apart = np.zeros(len(i), np.int64)
-        for k in range(bits.shape[1]):
-            apart += np.bitwise_count(bits[i, k] ^ bits[j, k]).astype(np.int64)
-        total = n[i] + n[j]
-        both = (total - apart) // 2
-        keep = both * THRESHOLD[1] >= THRESHOLD[0] * (total - both)
-        i, j = i[keep], j[keep]
-    return i, j
+def compare(sets: list[np.ndarray], right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the sets that link; of different sides unless `same`."""
+    n = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        ok = (same or right[0] != right[1]) and both * THRESHOLD[1] >= THRESHOLD[0] * (n.sum() - both)
+        return np.zeros(int(ok), np.int64), np.ones(int(ok), np.int64)
+    # an inverted index of the group; each member counts what it shares with all others at once
+    own = np.repeat(np.arange(len(sets)), n)
+    _, element, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    at = np.concatenate([[0], np.cumsum(df)])
+    posting = own[np.argsort(element, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(n)])
+    ii, jj = [], []
+    for k in range(len(sets)):
+        e = element[first[k] : first[k + 1]]
+        length = df[e]
+        where = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(at[e], length)
+        both = np.bincount(posting[where], minlength=len(sets))
+        ok = both * THRESHOLD[1] >= THRESHOLD[0] * (n[k] + n - both)
+        ok[: k + 1] = False
+        if not same:
+            ok &= right != right[k]
+        j = np.flatnonzero(ok)
+        ii.append(np.full(len(j), k))
+        jj.append(j)
+    return np.concatenate(ii), np.concatenate(jj)
+
+
+def link_clusters(docs: DataFrame, doc_id: str, text: str, members: DataFrame) -> DataFrame:
+    """Links (a, b) that hold together what links within clusters; members is (doc, n, component).
+
+    Sizes fall in bands a quarter apart, so that links lie within a band or between
+    neighbours; a band of many bytes is dealt in blocks.
+    """
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0])) + 1e-9).cast("int")
+    m = members.withColumn("band", band)
+    w = m.groupBy("component", "band").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("nb"), F.count("*").alias("docs"))
+    near = lambda step, name: w.select(F.col("component").alias("c"), (F.col("band") + step).alias("d"), F.col("nb").alias(name))
+    at = lambda d: (F.col("component") == F.col("c")) & (F.col("band") == F.col("d"))
+    w = w.join(near(-1, "up"), at(None), "left").drop("c", "d").join(near(1, "down"), at(None), "left").drop("c", "d")
+    w = w.where("docs > 1 or up is not null or down is not null").select(F.col("component").alias("c"), F.col("band").alias("d"), "nb", "up", "down")
+    m = m.join(w, at(None)).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+    cells = lambda k: F.sequence(F.lit(0), k - 1)
+    cell = lambda a, b, band, right, same: F.struct(F.xxhash64("component", band, a, b, same).alias("g"), right.alias("right"), same.alias("same"))
+    none = F.array().cast("array<struct<g:bigint,right:boolean,same:boolean>>")
+    own, here = F.col("own"), F.col("band")
+    # with the blocks of its own band, as the smaller with those of the next band, as the larger with those of the one before
+    inner = F.transform(cells(F.col("nb")), lambda o: cell(F.least(own, o), F.greatest(own, o), here, own > o, own == o))
+    upper = F.when(F.col("up").isNotNull(), F.transform(cells(F.col("up")), lambda o: cell(own, o, -here - 1, F.lit(False), F.lit(False)))).otherwise(none)
+    lower = F.when(F.col("down").isNotNull(), F.transform(cells(F.col("down")), lambda o: cell(o, own, -here, F.lit(True), F.lit(False)))).otherwise(none)
+    m = m.select(F.col("doc").alias("__d"), F.concat(inner, upper, lower).alias("cells"))
+    m, path = stash(m, "cells")
+    if m.count() <= BROADCAST_IDS // 4:
+        m = F.broadcast(m)
+    texts = docs.select(F.col(doc_id).alias("doc"), text).join(m, F.col("doc") == F.col("__d")).select("doc", text, "cells")
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(it, BATCH):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([shingle_set(h).tobytes() for h in batch_hashes(batch, text)], pa.binary())], ["doc", "cells", "shingles"])
+
+    cells_type = "array<struct<g:bigint,right:boolean,same:boolean>>"
+    d = texts.mapInArrow(pack, f"doc long, cells {cells_type}, shingles binary").select("doc", F.explode("cells").alias("c"), "shingles").select("c.g", "c.right", "c.same", "doc", "shingles")
+    d = d.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
+
+    def link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(b for x in it for b in chunks(iter([x]), 2048)):
+            g, right, same, doc = (t.column(k).to_numpy() for k in range(4))
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(4).to_pylist()]
+            start = np.concatenate([np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), [len(g)]])
+            aa, bb = [], []
+            for s0, s1 in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+                if s1 - s0 > 1:
+                    i, j = compare(sets[s0:s1], right[s0:s1], bool(same[s0]))
+                    label = spanning(i, j, s1 - s0)
+                    k = np.flatnonzero(label != np.arange(s1 - s0))
+                    aa.append(doc[s0:s1][k])
+                    bb.append(doc[s0:s1][label[k]])
+            if aa and sum(map(len, aa)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(aa)), pa.array(np.concatenate(bb))], ["a", "b"])
+
+    got, _ = stash(d.mapInArrow(link, "a long, b long"), "similar")
+    discard(docs.sparkSession, path)
+    return got
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,51 +387,29 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     named = ["n", "s1", "s2"]
     classes = prof.where("n > 0").groupBy(*named).agg(F.min("doc").alias("rep"))
     classes, p2 = stash(classes, "classes")
-    member = prof.where("n >= 4 and doc is not null").select("doc", "n", "s1", "s2", "keys", "common", "bits")
-    reps = member.join(classes.select("n", "s1", "s2", F.col("rep").alias("doc")), ["doc", *named], "left_semi").dropDuplicates(["doc", *named])
-    reps, p3 = stash(reps, "representatives")
-
-    post = reps.select(F.explode("keys").alias("key"), F.col("doc"), F.col("n"), (F.col("common") / F.col("n")).alias("score"))
-    w = Window.partitionBy("key")
-    hub = F.max(F.struct(F.col("score"), F.col("n"), F.col("doc"))).over(w)
-    lists = post.withColumn("cnt", F.count("*").over(w)).withColumn("hub", hub).where("cnt > 1").select("key", "doc", "n", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"))
-    lists, p4 = stash(lists, "lists")
-    star = lists.where((F.col("doc") != F.col("hub")) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * 80)).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    # the bitmap bound spares most of them the comparison of whole sets
+    # the copies are told from their representatives by id, so that no signature is shuffled for it
+    copies = prof.where("n >= 4 and doc is not null").select("doc", *named).join(classes, named).where("doc != rep").select("doc").distinct()
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    reps = prof.where("n >= 4 and doc is not null").join(copies, "doc", "left_anti")
+
+    post = reps.select(F.explode("keys").alias("key"), "doc")
+    lists = post.withColumn("cnt", F.count("*").over(Window.partitionBy("key"))).where("cnt > 1")
+    lists, p3 = stash(lists, "lists")
     bm = reps.select("doc", "n", "bits").dropDuplicates(["doc"])
-    star, p5 = stash(bound(star, bm), "star")
-    first = verify(docs, "doc_id", "text", star)
-    comp, p6 = components(first)
-
-    lists2 = lists.select("key", "doc", "n").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-    mixed = lists2.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    lists2 = lists2.join(mixed, "key", "left_semi").select("key", "doc", "comp").join(bm, "doc")
-    rest, p7 = stash(scan_lists(lists2), "rest")
-    second = verify(docs, "doc_id", "text", rest)
-    comp, p8 = components(first.union(second))
+    forest, p4 = stash(scan_lists(lists.join(bm, "doc").select("key", "cnt", "doc", "n", "bits")), "forest")
+    clusters, p5 = components(forest)
+    links = link_clusters(docs, "doc_id", "text", clusters.withColumnRenamed("node", "doc").join(bm.select("doc", "n"), "doc"))
+    comp, p6 = components(links)
 
     lab = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*named, F.coalesce("component", "rep").alias("component_id"))
     out = prof.select("doc", *named).join(lab, named, "left")
     out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc")).alias("component_id"))
     out, _ = stash(out, "joined")
-    discard(spark, *[p for p in (p1, p2, p3, p4, p5, p6, p7, p8) if p])
+    discard(spark, *[p for p in (p1, p2, p3, p4, p5, p6) if p])
     return out
 
 
-def bound(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    """Pairs that the bitmap bound leaves."""
-
-    def test(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in it:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, BITMAP) for c in ("x", "y"))
-            total = t.column("n").to_numpy() + t.column("m").to_numpy()
-            both = (total - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
-            yield t.select([0, 1]).filter(pa.array(both * THRESHOLD[1] >= THRESHOLD[0] * (total - both)))
-
-    d = pairs.join(maps.select(F.col("doc").alias("a"), "n", F.col("bits").alias("x")), "a").join(maps.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
-    return d.select("a", "b", "n", "m", "x", "y").mapInArrow(test, "a long, b long")
-
-
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group: the one whose id names the component. Documents without words stay."""
     got = ngram_join(docs, doc_id, text).where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()

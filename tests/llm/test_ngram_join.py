@@ -77,6 +77,8 @@ def test_long_lists_in_blocks(spark, monkeypatch):
     import quern.llm.ngram_join as m
 
     monkeypatch.setattr(m, "BLOCK", 8)
+    monkeypatch.setattr(m, "FEW", 2)
+    monkeypatch.setattr(m, "BLOCK_BYTES", 6000)
     rows = corpus(5)
     assert {tuple(x) for x in ngram_join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
 
@@ -87,3 +89,33 @@ def test_very_long_text_and_keep_first(spark):
     got = keep_first(spark.createDataFrame(rows, SCHEMA))
     assert sorted(r[0] for r in got.collect()) == [2, 8, 9]
     assert got.columns == ["doc_id", "text", "key", "n"]
+
+
+def test_bitmap_bound_keeps_links():
+    import numpy as np
+
+    import quern.llm.ngram_join as m
+
+    r = np.random.default_rng(0)
+
+    def bitmap(s):
+        x = np.zeros(m.BITMAP * 64, np.uint8)
+        at = s >> np.uint64(64 - int(m.spread(len(s))))
+        x[at[at < m.BITMAP * 64].astype(int)] = 1
+        return np.frombuffer(np.packbits(x, bitorder="little").tobytes(), np.uint64)
+
+    dropped = 0
+    for n in (4, 5, 30, 120, 128, 129, 200, 256, 257, 300, 700, 1024, 1025, 4000):
+        a = np.unique(r.integers(0, 2**64, n, np.uint64))
+        for share in (0.0, 0.5, 0.8, 0.81, 0.9, 1.0):
+            for grow in (0, n // 5):
+                both = a[: int(np.ceil(share * n))]
+                b = np.unique(np.concatenate([both, r.integers(0, 2**64, n - len(both) + grow, np.uint64)]))
+                inter = len(np.intersect1d(a, b))
+                got = m.may_link(np.array([len(a)]), np.array([len(b)]), bitmap(a)[None], bitmap(b)[None])[0]
+                back = m.may_link(np.array([len(b)]), np.array([len(a)]), bitmap(b)[None], bitmap(a)[None])[0]
+                assert got == back
+                if 100 * inter >= 80 * (len(a) + len(b) - inter):
+                    assert got
+                dropped += not got
+    assert dropped > 40
