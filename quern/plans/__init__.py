@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from . import relational
+from . import embedded, relational
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "relational"]
+__all__ = ["ORACLE", "QUERIES", "embedded", "relational"]
