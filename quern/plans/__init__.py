@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from . import embedded, relational
+from . import embedded, relational, scores, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "embedded", "relational"]
+__all__ = ["ORACLE", "QUERIES", "embedded", "relational", "scores", "texts"]
