@@ -39,7 +39,6 @@ STATISTICS = {
     "upper_share": "n_upper / greatest(word_chars, 1)",
     "digit_share": "n_digits / greatest(word_chars, 1)",
     "punct_share": "n_punct / greatest(word_chars, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
     "n_words": "cast(n_words as double)",
 }
@@ -52,10 +51,14 @@ def let(value: Column, body) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words that lie in WINDOW-word runs found twice or more in the array."""
-    runs = F.when(
-        F.size(words) >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def doubled(a: Column, k: int) -> Column:
+        # hashes of twice as long runs, from neighbours k apart
+        return F.zip_with(F.slice(a, F.lit(1), F.size(a) - k), F.slice(a, F.lit(1 + k), F.size(a) - k), lambda x, y: F.xxhash64(x, y))
+
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    eight = let(each, lambda h: let(doubled(h, 1), lambda p: let(doubled(p, 2), lambda q: doubled(q, 4))))
+    runs = F.when(F.size(words) >= WINDOW, eight).otherwise(F.array().cast("array<bigint>"))
 
     def covered(places: Column) -> Column:
         # places of repeated runs, ascending: each adds what the next one leaves of its words
@@ -91,24 +94,24 @@ def repeated_words(words: Column) -> Column:
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and counts for rules) per row; null text counts as empty."""
+    space = " \t\n\x0b\f\r"
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    words = F.filter(F.split("t", f"{SPACE}+"), lambda w: w != "")
-    lines = F.filter(F.split("t", "\n"), lambda x: F.ltrim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
-    without = lambda c, chars: F.length(c) - F.length(F.translate(c, chars, ""))
-    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    d = d.withColumn("words", words)
+    trimmed = F.btrim("t", F.lit(space))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(space)) != "")
+    found = lambda signs: F.regexp_count("t", F.lit(signs)).cast("bigint")
+    d = d.withColumn("words", words).withColumn("lines", let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("own"))))
     return d.select(
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
-        without(F.col("t"), "#*$%&|<>").cast("bigint").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        (F.length("t") - found(SPACE)).cast("bigint").alias("word_chars"),
+        found(r"[#*$%&|<>]").alias("n_symbols"),
+        (F.col("lines.n") - F.col("lines.own")).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        let(lines, lambda x: F.size(x)).cast("bigint").alias("n_lines"),
-        without(F.col("t"), upper).cast("bigint").alias("n_upper"),
-        without(F.col("t"), digits).cast("bigint").alias("n_digits"),
-        without(F.col("t"), ".,;:!?").cast("bigint").alias("n_punct"),
-        F.size(F.array_distinct("words")).cast("bigint").alias("n_distinct"),
+        F.col("lines.n").cast("bigint").alias("n_lines"),
+        found("[A-Z]").alias("n_upper"),
+        found("[0-9]").alias("n_digits"),
+        found("[.,;:!?]").alias("n_punct"),
     )
 
 
@@ -130,26 +133,42 @@ def sql_of(rule: Rule) -> str:
 
 
 def counts(rows: DataFrame, rules: list[Rule]) -> list[tuple[int, int]]:
-    """(rejected, good) rows that each rule covers, in one aggregate."""
-    out: list[tuple[int, int]] = []
-    for k in range(0, len(rules), 200):
-        part = rules[k : k + 200]
-        got = rows.agg(*[F.count_if(F.expr(f"({sql_of(r)}) and bad")).alias(f"b{i}") for i, r in enumerate(part)], *[F.count_if(F.expr(f"({sql_of(r)}) and not bad")).alias(f"g{i}") for i, r in enumerate(part)]).first()
-        out += [(got[f"b{i}"], got[f"g{i}"]) for i in range(len(part))]
+    """(rejected, good) rows that each of a few rules covers, in one aggregate."""
+    got = rows.agg(*[F.count_if(F.expr(f"({sql_of(r)}) and {c}")).alias(f"{n}{i}") for i, r in enumerate(rules) for n, c in (("b", "bad"), ("g", "not bad"))]).first()
+    return [(got[f"b{i}"], got[f"g{i}"]) for i in range(len(rules))]
+
+
+def tally(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[Condition, tuple[int, int]]:
+    """(rejected, good) rows that each condition on a cut covers.
+
+    Rows carry, by statistic, how many cuts are at most and how many are below its
+    value; rows with the same ranks are counted together, and sums along the ranks
+    give all conditions.
+    """
+    got = rows.select(F.explode("ranks").alias("r"), "bad").groupBy("r.c", "r.upto", "r.below").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")).collect()
+    out: dict[Condition, tuple[int, int]] = {}
+    for c, name in enumerate(cuts):
+        own = [x for x in got if x["c"] == c]
+        for k, v in enumerate(cuts[name]):
+            above, below = [x for x in own if x["upto"] > k], [x for x in own if x["below"] <= k]
+            out[Condition(name, True, v)] = sum(x["b"] for x in above), sum(x["g"] for x in above)
+            out[Condition(name, False, v)] = sum(x["b"] for x in below), sum(x["g"] for x in below)
     return out
 
 
 def learn(labelled: DataFrame) -> list[Rule]:
     """The decision list for rows of (statistics, bad boolean, growing boolean)."""
+    spark = labelled.sparkSession
     total = labelled.agg(F.count_if("bad").alias("b"), F.count("*").alias("n")).first()
     if not total["b"] or total["b"] == total["n"]:
         return []
-    names = list(STATISTICS)
-    cuts = labelled.groupBy("bad").agg(*[F.percentile(F.col(c), F.array(*[F.lit((k + 0.5) / QUANTILES) for k in range(QUANTILES)])).alias(c) for c in names]).collect()
-    atoms: list[Condition] = []
-    for c in names:
-        values = sorted({float(v) for row in cuts for v in row[c]})
-        atoms += [Condition(c, above, v) for v in values for above in (True, False)]
+    at = F.array(*[F.lit((k + 0.5) / QUANTILES) for k in range(QUANTILES)])
+    found = labelled.groupBy("bad").agg(*[F.percentile(F.col(c), at).alias(c) for c in STATISTICS]).collect()
+    cuts = {c: sorted({float(v) for row in found for v in row[c]}) for c in STATISTICS}
+    literal = lambda values: F.array(*[F.lit(v) for v in values])
+    rank = lambda c, test: F.size(F.filter(literal(cuts[c]), lambda x: test(x, F.col(c))))
+    ranks = F.array(*[F.struct(F.lit(i).alias("c"), rank(c, lambda x, v: x <= v).alias("upto"), rank(c, lambda x, v: x < v).alias("below")) for i, c in enumerate(cuts)])
+    labelled, path = stash(labelled.withColumn("ranks", ranks), "ranked")
     rules: list[Rule] = []
     left = labelled
     for _ in range(MAX_RULES):
@@ -157,16 +176,15 @@ def learn(labelled: DataFrame) -> list[Rule]:
         (b0, g0) = counts(grow, [()])[0]
         rule: Rule = ()
         while b0 and g0 and len(rule) < MAX_CONDITIONS:
-            options = [(*rule, a) for a in atoms if a not in rule]
             gain, best, now = 0.0, None, (b0, g0)
-            for option, (b, g) in zip(options, counts(grow, options), strict=True):
-                if b:
+            for atom, (b, g) in tally(grow.where(sql_of(rule)), cuts).items():
+                if b and atom not in rule:
                     v = b * (math.log2(b / (b + g)) - math.log2(b0 / (b0 + g0)))
                     if v > gain + 1e-9:
-                        gain, best, now = v, option, (b, g)
+                        gain, best, now = v, atom, (b, g)
             if best is None:
                 break
-            rule, (b0, g0) = best, now
+            rule, (b0, g0) = (*rule, best), now
         if not rule:
             break
         # the shortest beginning of the rule that is most precise on rows it was not grown on
@@ -177,6 +195,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
             break
         rules.append(rule)
         left = left.where(f"not ({sql_of(rule)})")
+    discard(spark, path)
     return rules
 
 
