@@ -208,6 +208,17 @@ def cut_running(rows: DataFrame, group: Column, order: list[Column], weight: Col
     return d.withColumn("before", F.col("__base") + F.col("__in")).drop("__g", "__h", "__w", "__b1", "__b2", "__in", "__gb", "__bb", "__base")
 
 
+#: Rows that cross to Python at once. Texts may be long, and both sides hold a batch.
+ARROW_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the rows of Arrow batches in this session; a smaller bound that is already set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def chunks(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what Python makes of one stays bounded."""
     for b in it:

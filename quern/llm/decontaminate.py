@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, batch_hashes, chunks, shingle_set, text_hashes, window_hashes
+from .common import SHINGLE, batch_hashes, chunks, shingle_set, short_batches, text_hashes, window_hashes
 
 THRESHOLD = (80, 100)
 BLOCK_CHARS = 32_000_000
@@ -112,6 +112,7 @@ class Items:
 
 def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
     """The items, a bounded number of characters at a time."""
+    short_batches(items.sparkSession)
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     parts = max(1, -(-size // BLOCK_CHARS))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, short_batches
 
 BATCH = 256
 #: Share of the mean fused ratio (by text) that a path needs; share of selected text that lets a container go deeper.
@@ -221,6 +221,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks) per row: the main text of the whole page; null or empty html: empty text."""
 
+    short_batches(pages.sparkSession)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(it, BATCH):
             got = [select(*blocks_of(p)) if p else [] for p in b.column(2).to_pylist()]

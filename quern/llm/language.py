@@ -11,7 +11,6 @@ without letters, or of a script no language has, say nothing.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_values, chunks
+from .common import chunks, short_batches
 
 FEATURES = 1 << 16
 #: Labelled documents that are learned from, at most about (a seeded sample beyond).
@@ -29,8 +28,6 @@ SWITCH = 8.0
 CLIP = 6.0
 #: Share of a language's letters that makes a script its own.
 SCRIPT_SHARE = 0.001
-#: Words a worker keeps the scores of.
-KEPT = 300_000
 BATCH = 1024
 
 # First and last code point of letters by script (Unicode blocks).
@@ -53,46 +50,114 @@ SCRIPTS = {
 NAMES = list(SCRIPTS)
 
 
-def script_of(c: str) -> int:
-    """Index of a letter's script; len(NAMES) for other letters."""
-    p = ord(c)
-    for k, ranges in enumerate(SCRIPTS.values()):
-        if any(lo <= p <= hi for lo, hi in ranges):
-            return k
-    return len(NAMES)
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point, to the end of the third plane: whether it is a letter, and its script (len(NAMES) for none of them)."""
+    global _tables
+    if _tables is None:
+        top = 0x40000
+        script = np.full(top, len(NAMES), np.uint8)
+        for k, ranges in enumerate(SCRIPTS.values()):
+            for lo, hi in ranges:
+                script[lo : hi + 1] = k
+        _tables = np.array([chr(c).isalpha() for c in range(top)]), script
+    return _tables
 
 
-def letters(word: bytes) -> str:
-    """Lower-cased letters of a word, in order."""
-    return "".join(c for c in word.decode("utf-8", "ignore").lower() if c.isalpha())
+_tables: tuple[np.ndarray, np.ndarray] | None = None
+#: Characters that are worked on at once, so that the arrays stay in a core's cache.
+GO = 1 << 17
 
 
-def grams(word: str) -> list[int]:
-    """Hashed n-grams of one to four letters, with the ends marked."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode()) % FEATURES for n in range(1, 5) for i in range(len(w) - n + 1) if n > 1 or w[i] not in "<>"]
+@dataclass
+class Words:
+    """Words of some texts: the n-grams of their letters, with a word's ends marked, as feature numbers."""
+
+    per_text: np.ndarray  # words by text
+    letters: np.ndarray  # letters by word
+    lettered: np.ndarray  # index of the words with letters; what follows is by these
+    scripts: np.ndarray  # bit set
+    start: np.ndarray  # first place
+    grams: list[np.ndarray]  # by place, the feature of the 1, 2, 3 and 4 signs from there; FEATURES where the word ends before
+
+
+def words_of(texts: list[str]) -> Words:
+    low = [t.lower() for t in texts]
+    cp = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter, script = tables()
+    space = (cp == 0x20) | ((cp >= 0x09) & (cp <= 0x0D))
+    first = ~space
+    first[1:] &= space[:-1]
+    word = np.cumsum(first) - 1
+    ends = np.cumsum([len(t) + 1 for t in low])
+    upto = np.concatenate([[0], word[ends - 1] + 1]) if len(ends) else np.zeros(1, np.int64)
+    small = np.minimum(cp, len(is_letter) - 1)
+    at = np.flatnonzero(is_letter[small])
+    own, signs = word[at], cp[at]
+    letters = np.bincount(own, minlength=int(upto[-1]))
+    lettered = np.flatnonzero(letters)
+    m = letters[lettered]
+    begin = np.cumsum(m) - m
+    bits = np.bitwise_or.reduceat(np.uint32(1) << script[small[at]].astype(np.uint32), begin) if len(m) else np.empty(0, np.uint32)
+    # each word's letters between two marks
+    n = len(signs) + 2 * len(m)
+    g = np.repeat(np.arange(len(m)), m)
+    seq = np.empty(n, np.uint32)
+    seq[np.arange(len(signs)) + 2 * g + 1] = signs
+    start = begin + 2 * np.arange(len(m))
+    last = start + m + 1
+    seq[start], seq[last] = 1, 2
+    to = np.repeat(last, m + 2)  # a word's closing mark
+    grams, h, place = [], np.zeros(n, np.uint32), np.arange(n)
+    for k in range(4):
+        nxt = np.zeros(n, np.uint32)
+        nxt[: n - k] = seq[k:]
+        h = (h ^ nxt) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        f = ((h * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.int64)
+        f[place + k > to] = FEATURES
+        if k == 0:
+            f[start] = f[last] = FEATURES
+        grams.append(f)
+    return Words(np.diff(upto), letters, lettered, bits, start, grams)
+
+
+def in_goes(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """The texts (null: empty), some at a time, each lot with the number of its first."""
+    lot, size, first = [], 0, 0
+    for k, t in enumerate(texts):
+        lot.append(t or "")
+        size += len(lot[-1])
+        if size >= GO:
+            yield first, lot
+            lot, size, first = [], 0, k + 1
+    if lot:
+        yield first, lot
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # features x languages: log probabilities
+    weights: np.ndarray  # features and one row of zeros x languages: log probabilities
     scripts: np.ndarray  # scripts x languages: is a candidate
 
-    def score(self, word: bytes) -> tuple[np.ndarray, int]:
-        """Score by language (0 for the best, down to -CLIP), and the number of letters."""
-        w = letters(word)
-        out = np.zeros(len(self.languages), np.float32)
-        if not w:
-            return out, 0
-        may = np.zeros(len(self.languages), bool)
-        for k in {script_of(c) for c in w}:
-            may |= self.scripts[k]
-        if may.any():
-            g = grams(w[:64])
-            out = self.weights[g].mean(axis=0) * np.float32(len(g) ** 0.5)
-            out = np.maximum(np.where(may, out - out[may].max(), -CLIP), -CLIP).astype(np.float32)
-        return out, len(w)
+    def scores(self, w: Words) -> np.ndarray:
+        """Score by word and language: 0 for the best, down to -CLIP; all 0 for words that say nothing."""
+        out = np.zeros((len(w.letters), len(self.languages)), np.float32)
+        if not len(w.lettered) or not self.languages:
+            return out
+        by_place = self.weights[w.grams[0]]
+        for f in w.grams[1:]:
+            by_place += self.weights[f]
+        total = np.add.reduceat(by_place, w.start, axis=0)
+        m = w.letters[w.lettered]
+        total /= np.sqrt(3 * m + 1 + np.maximum(m - 1, 0), dtype=np.float32)[:, None]
+        sets, which = np.unique(w.scripts, return_inverse=True)
+        may = np.stack([self.scripts[[k for k in range(len(NAMES) + 1) if int(x) >> k & 1]].any(axis=0) for x in sets])[which]
+        total = np.where(may, total, -np.inf)
+        best = total.max(axis=1)
+        known = np.isfinite(best)
+        out[w.lettered[known]] = np.maximum(total[known] - best[known, None], -CLIP)
+        return out
 
 
 def train(docs: DataFrame, text: str, lang: str, learn: Column, key: Column, sample: int = SAMPLE) -> Model:
@@ -101,26 +166,25 @@ def train(docs: DataFrame, text: str, lang: str, learn: Column, key: Column, sam
     n = rows.count()
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_000)) < int(1e6 * sample / n))
-    wide = FEATURES + len(NAMES) + 1
+    wide = FEATURES + 1 + len(NAMES) + 1  # features, one for none, scripts
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        known: dict[bytes, np.ndarray] = {}
         for batch in chunks(it, BATCH):
-            for la, b in zip(batch.column(0).to_pylist(), binary_values(batch, text), strict=True):
+            by: dict[str, list[str]] = {}
+            for la, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by.setdefault(la, []).append(t)
+            for la, texts in by.items():
                 own = total.setdefault(la, np.zeros(wide, np.int64))
-                seen: list[np.ndarray] = []
-                for w in b.split():
-                    f = known.get(w)
-                    if f is None:
-                        s = letters(w)
-                        f = np.array(grams(s[:64]) + [FEATURES + script_of(c) for c in s], np.int64) if s else np.empty(0, np.int64)
-                        if len(known) < KEPT // 4:
-                            known[w] = f
-                    seen.append(f)
-                if seen:
-                    own += np.bincount(np.concatenate(seen), minlength=wide)
+                for _, lot in in_goes(texts):
+                    w = words_of(lot)
+                    for f in w.grams:
+                        own[: FEATURES + 1] += np.bincount(f, minlength=FEATURES + 1)
+                    m = w.letters[w.lettered]
+                    for k in range(len(NAMES) + 1):
+                        own[FEATURES + 1 + k] += int(m[(w.scripts >> np.uint32(k)) & np.uint32(1) == 1].sum())
         for la, own in total.items():
+            own[FEATURES] = 0
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([la] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "f", "n"])
 
@@ -131,30 +195,9 @@ def train(docs: DataFrame, text: str, lang: str, learn: Column, key: Column, sam
     if len(got):
         table[got["f"].to_numpy(), got["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy()] = got["n"].to_numpy()
     f = table[:FEATURES] + 0.5
-    s = table[FEATURES:]
-    return Model(languages, np.log(f / f.sum(axis=0)).astype(np.float32), s > SCRIPT_SHARE * np.maximum(s.sum(axis=0), 1))
-
-
-class Scored(dict):
-    """Word to row of the score table."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.clear_all()
-
-    def clear_all(self):
-        self.clear()
-        self.rows = np.zeros((1024, len(self.model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        k = len(self)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.rows[k], self.letters[k] = self.model.score(word)
-        self[word] = k
-        return k
+    s = table[FEATURES + 1 :]
+    weights = np.concatenate([np.log(f / f.sum(axis=0)), np.zeros((1, len(languages)))]).astype(np.float32)
+    return Model(languages, weights, s > SCRIPT_SHARE * np.maximum(s.sum(axis=0), 1))
 
 
 def paths(scores: list[np.ndarray]) -> list[np.ndarray]:
@@ -199,16 +242,17 @@ def paths(scores: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def judge(texts: list[bytes | None], cache: Scored) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
+def judge(texts: list[str | None], model: Model) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
     """(language, score, spans) per text; spans are (language, first word, words)."""
-    model = cache.model
-    if len(cache) > KEPT:
-        cache.clear_all()
-    ids = [np.fromiter(map(cache.__getitem__, b.split()), np.int64) if b else np.empty(0, np.int64) for b in texts]
-    best = paths([cache.rows[i] for i in ids]) if model.languages else [np.empty(0, np.int64)] * len(ids)
+    scores, letters = [], []
+    for _, lot in in_goes(texts):
+        w = words_of(lot)
+        cut = np.cumsum(w.per_text)[:-1]
+        letters += np.split(w.letters, cut)
+        scores += np.split(model.scores(w), cut)
+    best = paths(scores) if model.languages else [np.empty(0, np.int64)] * len(texts)
     out = []
-    for i, p in zip(ids, best, strict=True):
-        n = cache.letters[i]
+    for n, p in zip(letters, best, strict=True):
         total = int(n.sum())
         if not total or not len(p):
             out.append(("und", 0.0, []))
@@ -228,9 +272,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     table = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Scored(table.value)
         for batch in chunks(it, BATCH):
-            got = judge(binary_values(batch, "text"), cache)
+            got = judge(batch.column(1).to_pylist(), table.value)
             spans = [[{"lang": a, "first": b, "words": c} for a, b, c in s] for _, _, s in got]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
@@ -244,9 +287,8 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
     table = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Scored(table.value)
         for batch in chunks(it, BATCH):
-            yield batch.filter(pa.array([la != "und" and s >= least for la, s, _ in judge(binary_values(batch, text), cache)], pa.bool_()))
+            yield batch.filter(pa.array([la != "und" and s >= least for la, s, _ in judge(batch.column(batch.schema.get_field_index(text)).to_pylist(), table.value)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -258,6 +300,7 @@ def remainder(doc_id: str) -> Column:
 
 def model_of(docs: DataFrame) -> Model:
     """The model of documents, learned from all but the held-out fold."""
+    short_batches(docs.sparkSession)
     return train(docs, "text", "lang", remainder("doc_id") != 2, F.col("doc_id"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_hashes, chunks, stash, window_hashes
+from .common import batch_hashes, chunks, short_batches, stash, window_hashes
 
 BUCKETS = 1 << 15
 #: Share of the documents with words that is drawn.
@@ -115,6 +115,7 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
     repeat id and words) are drawn in the order of id as far as there is room. Without
     target documents every weight is 0 on average and the draw is near uniform.
     """
+    short_batches(docs.sparkSession)
     got, _ = stash(score(docs, models(docs, target, doc_id, text), doc_id, text, seed), "scores")
     some = got.where("n_grams > 0")
     k = int(share * some.count())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_values, chunks, discard, stash
+from .common import binary_values, chunks, discard, short_batches, stash
 
 FEATURES = 1 << 18
 SAMPLE = 12_000
@@ -34,7 +34,7 @@ CHOSEN, LEAST = 400, 4
 DECAY = 1.0
 #: Clean documents may be rejected at this rate at most, out of fold.
 FALSE_RATE = 0.002
-KEPT = 300_000
+KEPT = 150_000
 BATCH = 512
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -127,6 +127,7 @@ def choose(n: np.ndarray, pos: np.ndarray, docs: int, positives: int) -> np.ndar
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
     """The chain learned from labels(doc_id, ...); categories maps a name to the SQL condition that makes a row positive."""
     spark, names = docs.sparkSession, list(categories)
+    short_batches(spark)
     y = labels.select(F.col(doc_id).alias("__d"), *[F.expr(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())]).dropna().dropDuplicates(["__d"])
     n = y.count()
     if n > sample:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, shared_dir
+from .common import discard, shared_dir, short_batches
 
 ARCHIVE_BYTES = 16 << 20
 #: Payloads of at least this many bytes are written once; equal ones become revisits.
@@ -74,6 +74,7 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> None:
     """Writes every row of pages to archives under path. Null html is an empty payload, a null url an absent one."""
+    short_batches(pages.sparkSession)
     d = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     same = revisits(d.select("page_id", "digest", F.octet_length("payload").alias("size")), least).withColumn("revisit", F.lit(True))
     r = same.select(F.col("page_id").alias("p"), F.col("digest").alias("g"), "refers_to", "revisit")
