@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from . import embedded, ingest, relational, scores, texts
+from . import embedded, ingest, more, relational, scores, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "embedded", "ingest", "relational", "scores", "texts"]
+__all__ = ["ORACLE", "QUERIES", "embedded", "ingest", "more", "relational", "scores", "texts"]
