@@ -63,7 +63,9 @@ def _powers_to(n: int) -> np.ndarray:
     """Powers of the base, mod 2^64."""
     global _powers
     if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[1], np.full(max(n, 256), _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        _powers = np.full(max(n, 256), _BASE, np.uint64)
+        _powers[0] = 1
+        _powers = np.cumprod(_powers, dtype=np.uint64)
     return _powers
 
 

@@ -25,6 +25,20 @@ def test_word_hashes_follow_the_words():
         m._GO = was
 
 
+def test_word_hashes_tell_all_words_apart():
+    r = random.Random(8)
+    words = {"".join(r.choices("abcdeé", k=r.randint(1, 30))) for _ in range(100_000)}
+    words |= {"x" * 20 + a + b + "y" * 10 for a in "abcdefghij" for b in "klmnopqrst"} | {"x" * 20 + b + a + "y" * 10 for a in "abcdefghij" for b in "klmnopqrst"}
+    h = m.text_hashes(" ".join(sorted(words)).encode())
+    assert len(np.unique(h)) == len(words)
+    for bits in (16, 48):  # any part of the hash is spread evenly
+        n = np.bincount((h >> np.uint64(bits)).astype(np.int64) & 255, minlength=256)
+        assert n.min() > 0.7 * len(words) / 256
+    runs = m.window_hashes(h, 5)
+    assert len(np.unique(runs)) == len(runs)
+    assert np.array_equal(m._powers_to(4)[:3], np.array([1, m._BASE, m._BASE * m._BASE % 2**64], np.uint64))
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 180)] + [(r.randrange(300, 500), r.randrange(300, 500)) for _ in range(150)] + [(900, 900), (None, 3), (5, None), (1, 0)]
