@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, batch_hashes, chunks, components, discard, mix, shingle_set, stash, window_hashes
+from .common import SHINGLE, batch_hashes, chunks, components, discard, mix, shingle_set, short_batches, stash, window_hashes
 
 THRESHOLD = (80, 100)
 #: Rows of the frequency table that orders shingles (12 MB at most). It decides costs, never results.
@@ -73,7 +73,7 @@ def frequencies(docs: DataFrame, text: str, min_local: int = 3, min_total: int =
                 s = window_hashes(h, min(SHINGLE, max(len(h), 1)))
                 held += len(s)
                 seen.append(s)
-            if held > 8_000_000:
+            if held > 2_000_000:
                 yield flush()
                 held = 0
         if (last := flush()) is not None:
@@ -374,6 +374,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     set equals another document's. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     often, work, p0 = frequencies(docs, "text")
     top = often.orderBy(F.desc("n"), "h").limit(ORDER_ROWS).toPandas()
@@ -412,10 +413,12 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group: the one whose id names the component. Documents without words stay."""
-    got = ngram_join(docs, doc_id, text).where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(got, docs[doc_id] == F.col("__gone"), "left_anti")
-    # rows that repeat an id are rare, so only they are shuffled with their texts
-    again = docs.groupBy(doc_id).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(doc_id).alias("__again"))
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # ids are judged apart, so that texts are shuffled only where the ids are too many to broadcast
+    gone = small(ngram_join(docs, doc_id, text).where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    kept = docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    again, _ = stash(docs.groupBy(F.col(doc_id).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"), "repeated")
+    again = small(again)
     same = kept[doc_id].eqNullSafe(F.col("__again"))
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
 
