@@ -163,3 +163,16 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", i
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP2_SQL = r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+ik AS (SELECT item_id, w, least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g FROM ik),
+n AS (SELECT item_id, count(*) AS total FROM i GROUP BY 1),
+ks AS (SELECT DISTINCT k FROM ik),
+dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g FROM dw, ks WHERE len(w) >= k),
+s AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (k, g) GROUP BY 1, 2)
+SELECT doc_id, item_id, shared, total AS item_shingles, shared::DOUBLE / total AS containment FROM s JOIN n USING (item_id) WHERE 100 * shared >= 80 * total
+"""

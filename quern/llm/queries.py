@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op3_url_filter": url_lists.OP3_SQL,
     "op4_source_mixing": mixing.OP4_SQL,
+    "op5_warc_transactions": warc.OP5_SQL,
 }

@@ -191,3 +191,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes archives."""
     discard(spark, path)
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+g AS (SELECT x, max(page_id) AS top, count(*) AS n FROM p GROUP BY x),
+b AS (SELECT p.*, top, n, list_transform(range(0, 8), lambda k: ('0x' || substr(p.x, k * 5 + 1, 5))::BIGINT) AS v FROM p JOIN g ON p.x = g.x)
+SELECT page_id, strlen(h) AS payload_bytes,
+       array_to_string(list_transform(v, lambda y: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN n = 1 OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM top THEN top END AS refers_to, url
+FROM b
+"""
