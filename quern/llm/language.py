@@ -25,6 +25,8 @@ FEATURES = 1 << 16
 #: Labelled documents that are learned from, at most about (a seeded sample beyond).
 SAMPLE = 12_000
 SWITCH = 8.0
+#: A document without a language that holds this share of its letters is rejected.
+KEEP_SHARE = 0.4
 CLIP = 6.0
 #: Share of a language's letters that makes a script its own.
 SCRIPT_SHARE = 0.001
@@ -282,7 +284,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     return d.mapInArrow(label, "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>")
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = KEEP_SHARE) -> DataFrame:
     """The rows of docs, all columns, with a language that holds at least that share of the letters."""
     table = docs.sparkSession.sparkContext.broadcast(model)
 

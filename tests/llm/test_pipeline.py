@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
         assert all(after[i] == before[i] for i in after)
         if name == "language_id":
             got = {r.doc_id: r for r in language.identify(docs, language.model_of(docs)).collect()}
-            assert set(after) == {i for i, r in got.items() if r.lang_pred != "und" and r.score >= 0.5}
+            assert set(after) == {i for i, r in got.items() if r.lang_pred != "und" and r.score >= language.KEEP_SHARE}
         elif name == "toxicity":
             got = toxicity.classify(docs, toxicity.chain_of(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
             assert set(after) == {r.doc_id for r in got if not r.is_toxic}
