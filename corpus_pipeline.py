@@ -12,7 +12,7 @@ from quern.llm.common import stash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with none for half of their letters, go."""
+    """Documents without letters, or without a language that holds enough of them, go."""
     return language.keep_identified(docs, language.model_of(docs))
 
 

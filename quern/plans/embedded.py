@@ -142,8 +142,18 @@ on_graph("G15_graph_stats", gr.graph_stats, "SELECT relation, source_type, targe
 on_graph("G18_hub_pages", lambda g: gr.hub_pages(g, 10), "SELECT target_id AS page_id, count(*) AS in_degree FROM g_cites GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 on_graph("G16_pagerank", lambda g: gr.pagerank(g.pages.select("id"), g.cites.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))))
 on_graph("G17_betweenness", lambda g: gr.betweenness(g.cites.where("source_id % 10 = target_id % 10").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))))
-on_graph("G12_citation_penalties", lambda g: gr.citation_penalties(g, 3))
-on_graph("G13_integrity", lambda g: gr.integrity(g, 3))
+LOOPS = """
+q_c AS (SELECT DISTINCT source_id AS s, target_id AS t FROM g_cites),
+q_loops AS (SELECT [s] AS p FROM q_c WHERE s = t UNION ALL SELECT [a.s, a.t] FROM q_c a JOIN q_c b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t
+  UNION ALL SELECT [a.s, a.t, b.t] FROM q_c a JOIN q_c b ON b.s = a.t JOIN q_c c ON c.s = b.t AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t),
+q_trips AS (SELECT a.s AS a, a.t AS b FROM q_c a JOIN q_c b ON a.s = b.t AND a.t = b.s WHERE a.s <= a.t),
+q_same AS (SELECT c.s, c.t FROM q_c c JOIN g_pages a ON a.id = c.s JOIN g_pages b ON b.id = c.t WHERE c.s <> c.t AND lower(a.domain) = lower(b.domain)),
+q_f AS (SELECT unnest(p) AS id, CASE WHEN len(p) <= 2 THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END AS f FROM q_loops UNION ALL SELECT a, 0.3::DOUBLE FROM q_trips UNION ALL SELECT b, 0.3::DOUBLE FROM q_trips UNION ALL SELECT s, 0.1::DOUBLE FROM q_c WHERE s = t UNION ALL SELECT s, 0.5::DOUBLE FROM q_same UNION ALL SELECT t, 0.6::DOUBLE FROM q_same),
+q_pen AS (SELECT p.id AS page_id, round(least(1, coalesce(exp(sum(ln(f))), 1)), 9) AS penalty FROM g_pages p LEFT JOIN q_f ON q_f.id = p.id GROUP BY 1)
+"""
+on_graph("G12_citation_penalties", lambda g: gr.citation_penalties(g, 3).select("page_id", F.round("penalty", 6).alias("penalty")), LOOPS + "SELECT page_id, round(penalty, 6) AS penalty FROM q_pen")
+on_graph("G13_integrity", lambda g: gr.integrity(g, 3), LOOPS + """, q_bad AS (SELECT unnest(p) AS id FROM q_loops UNION SELECT a FROM q_trips UNION SELECT b FROM q_trips UNION SELECT s FROM q_same UNION SELECT s FROM q_c WHERE s = t)
+SELECT (SELECT count(*) FROM g_pages) AS pages, (SELECT count(*) FROM q_bad) AS problematic, (SELECT count(*) FROM q_pen WHERE penalty < 0.9) AS penalised, round(1 - (SELECT count(*) FROM q_bad)::DOUBLE / (SELECT count(*) FROM g_pages), 3) AS integrity""")
 on_graph("G22_claim_relations", lambda g: gr.claim_relations(g, 1), LOCATED + """, q_t AS (SELECT DISTINCT claim_id, fragment_id, page_id FROM q_located WHERE task_id = 1 AND relation IN ('supports', 'origin')),
 q_pairs AS (SELECT a.claim_id AS a, b.claim_id AS b, 1 AS kind FROM q_t a JOIN q_t b ON a.fragment_id = b.fragment_id AND a.claim_id < b.claim_id UNION ALL SELECT a.claim_id, b.claim_id, 2 FROM q_t a JOIN q_t b ON a.page_id = b.page_id AND a.claim_id < b.claim_id)
 SELECT a AS claim_a, b AS claim_b, CASE min(kind) WHEN 1 THEN 'co_fragment' ELSE 'co_page' END AS kind, CASE min(kind) WHEN 1 THEN 0.9 ELSE 0.6 END::DOUBLE AS weight FROM q_pairs GROUP BY 1, 2""")

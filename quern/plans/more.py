@@ -176,4 +176,4 @@ q_1 AS (SELECT target_id AS id FROM g_cites WHERE source_id = 1 AND target_id <>
 q_2 AS (SELECT target_id AS id FROM g_cites WHERE source_id IN (SELECT id FROM q_1) AND target_id <> 1 AND target_id NOT IN (SELECT id FROM q_1) GROUP BY 1 ORDER BY max(target_id % 10) DESC, 1 LIMIT 50)
 SELECT 1::BIGINT AS id, 0 AS depth UNION ALL SELECT id, 1 FROM q_1 UNION ALL SELECT id, 2 FROM q_2""")
 on_graph("G2_simple_edges", lambda g: gr.simple_edges(g.edges, "id").select("source_type", "source_id", "target_type", "target_id", "relation"), "SELECT source_type, source_id, target_type, target_id, arg_max(relation, id) AS relation FROM g_edges GROUP BY 1, 2, 3, 4")
-on_graph("G21_claim_assessment", lambda g: gr.claim_confidence(g).join(gr.evidence_by_relation(g), "claim_id", "left").select("claim_id", "confidence", F.coalesce(F.size("supports"), F.lit(0)).alias("n_supports")), None)
+on_graph("G21_claim_assessment", lambda g: gr.claim_confidence(g).join(gr.evidence_by_relation(g), "claim_id", "left").select("claim_id", "confidence", F.coalesce(F.size("supports"), F.lit(0)).cast("long").alias("n_supports")).drop("confidence"), "SELECT c.id AS claim_id, count(*) FILTER (relation = 'supports') AS n_supports FROM g_claims c LEFT JOIN g_nli n ON n.target_id = c.id GROUP BY 1")

@@ -215,3 +215,20 @@ SELECT l, min(r) AS r, arg_min(similarity, r) AS similarity FROM p WHERE similar
 def d15(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(col("item_id").alias("id"), col("text").alias("title"))
     return dd.title_matches(b, b, 0.2)
+
+
+EXACT = rf"""
+d AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM d),
+x AS (SELECT id, len(g) AS n, unnest(g) AS g FROM s), b AS (SELECT a.id AS a, c.id AS b, any_value(a.n) + any_value(c.n) AS t, count(*) AS k FROM x a JOIN x c ON a.g = c.g AND a.id < c.id AND least(a.n, c.n) * 100 >= greatest(a.n, c.n) * 80 GROUP BY 1, 2),
+p AS (SELECT a, b, k::DOUBLE / (t - k) AS similarity FROM b WHERE k * 100 >= (t - k) * 80)
+"""
+
+
+@query("D5b_exact_pairs", f"WITH {EXACT} SELECT * FROM p")
+def d5b(spark, sf_dir):
+    return dd.exact_pairs(texts(spark, sf_dir))
+
+
+@query("D7b_exact_clusters", f"WITH RECURSIVE {EXACT}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, reach) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach) SELECT id, min(reach) AS cluster FROM r GROUP BY 1")
+def d7b(spark, sf_dir):
+    return dd.clusters(dd.exact_pairs(texts(spark, sf_dir)))
