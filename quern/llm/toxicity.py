@@ -42,9 +42,12 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 def features_of(word: bytes) -> list[int]:
     """Hashed features of one word: its letters, whole and their beginnings."""
     raw = word.decode("utf-8", "ignore")
-    shape = re.sub("[a-zà-ÿ]+", "a", re.sub("[A-ZÀ-Þ]+", "A", re.sub(r"\d+", "0", raw)))[:12]
+    if raw.isalpha() and (raw.islower() or raw[1:].islower() and raw[0].isupper()):  # most words; what follows gives the same
+        shape, w = "a" if raw.islower() else "Aa", raw.lower()
+    else:
+        shape = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa", re.sub(r"\d+", "0", raw))[:12]
+        w = NOT_LETTERS.sub("", raw.lower())
     out = [zlib.crc32(b"s" + shape.encode()) % FEATURES]
-    w = NOT_LETTERS.sub("", raw.lower())
     if not w:
         return out
     out.append(zlib.crc32(b"w" + w.encode()) % FEATURES)
