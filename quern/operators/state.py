@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 col, lit = F.col, F.lit
 
-#: Ordered values of a key that are folded in one array; longer histories take the closed form.
-FOLD = 1_000_000
-
 
 def ema(events: DataFrame, key: str, order: list[str], value: Column, alpha: float, start: float) -> DataFrame:
     """(key, ema, n) after folding e = alpha * x + (1 - alpha) * e over each key's events in order.
