@@ -3,7 +3,7 @@
 A page is written as a request, a response or revisit, and a metadata record, the last
 two naming the request in WARC-Concurrent-To. Each row of the written table is one
 record in bytes; Spark's text writer puts them into files (its commit protocol survives
-lost executors), in archives of about ARCHIVE_BYTES, so that a reader holds one archive.
+lost executors), gzipped, in archives of about ARCHIVE_BYTES, so that a reader holds one archive.
 Reading follows Content-Length. Assembly joins records through their concurrent-to
 identifiers, over up to two steps, and emits one nested row per capture.
 """
@@ -11,6 +11,7 @@ identifiers, over up to two steps, and emits one nested row per capture.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -100,7 +101,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(archive, pa.int32())], ["value", "archive"])
 
     made = d.mapInArrow(make, "value binary, archive int")
-    made.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\n").text(path)
+    made.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,7 +127,7 @@ RECORD = "record_id string, concurrent_to string, record_type string, target_uri
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record under path. payload_bytes and payload_digest of responses are of the payload as read."""
+    """One row per record of the archives under path, gzipped or not. payload_bytes and payload_digest of responses are of the payload as read."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
@@ -134,7 +135,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         for batch in it:
             for value in batch.column(0):
                 rows, held = [], 0
-                for head, block in parse(value.as_buffer().to_pybytes()):
+                data = value.as_buffer().to_pybytes()
+                for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     kind, payload, n, digest, fields = head.get("warc-type"), None, None, head.get("warc-payload-digest", "").removeprefix("sha1:") or None, {}
                     if kind == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
