@@ -27,8 +27,8 @@ SAMPLE = 40_000
 MAX_RULES, MAX_CONDITIONS = 8, 3
 #: Candidate thresholds per statistic: quantiles of the labelled sample.
 QUANTILES = 16
-#: A rule must cover this share of the sample's rejected rows, and be this precise (one added to both counts) on the pruning part.
-LEAST_COVER, LEAST_PRECISION = 0.01, 0.9
+#: On the pruning part a rule must cover this share of the sample's rejected rows, be this precise, and with one added to both counts this worthy.
+LEAST_COVER, LEAST_PRECISION, LEAST_WORTH = 0.01, 0.95, 0.75
 
 #: Statistics that rules may test, all defined (0 for no words) on every text.
 STATISTICS = {
@@ -39,6 +39,7 @@ STATISTICS = {
     "upper_share": "n_upper / greatest(word_chars, 1)",
     "digit_share": "n_digits / greatest(word_chars, 1)",
     "punct_share": "n_punct / greatest(word_chars, 1)",
+    "stutter_share": "n_stutter / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
     "n_words": "cast(n_words as double)",
 }
@@ -112,6 +113,8 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         found("[A-Z]").alias("n_upper"),
         found("[0-9]").alias("n_digits"),
         found("[.,;:!?]").alias("n_punct"),
+        # words equal to the one before: unlike the share of distinct words, it does not change with a text's length
+        F.size(F.filter("words", lambda w, i: (i > 0) & (F.get(F.col("words"), F.greatest(i - 1, F.lit(0))) == w))).cast("bigint").alias("n_stutter"),
     )
 
 
@@ -162,17 +165,15 @@ def learn(labelled: DataFrame) -> list[Rule]:
     total = labelled.agg(F.count_if("bad").alias("b"), F.count("*").alias("n")).first()
     if not total["b"] or total["b"] == total["n"]:
         return []
-    at = F.array(*[F.lit((k + 0.5) / QUANTILES) for k in range(QUANTILES)])
-    found = labelled.groupBy("bad").agg(*[F.percentile(F.col(c), at).alias(c) for c in STATISTICS]).collect()
-    cuts = {c: sorted({float(v) for row in found for v in row[c]}) for c in STATISTICS}
-    literal = lambda values: F.array(*[F.lit(v) for v in values])
-    rank = lambda c, test: F.size(F.filter(literal(cuts[c]), lambda x: test(x, F.col(c))))
-    ranks = F.array(*[F.struct(F.lit(i).alias("c"), rank(c, lambda x, v: x <= v).alias("upto"), rank(c, lambda x, v: x < v).alias("below")) for i, c in enumerate(cuts)])
-    labelled, path = stash(labelled.withColumn("ranks", ranks), "ranked")
     rules: list[Rule] = []
     left = labelled
     for _ in range(MAX_RULES):
-        grow, prune = left.where("growing"), left.where("not growing")
+        if not all(counts(left, [()])[0]):
+            break
+        # cuts follow the rows that are left, so that what is rare at first has its thresholds later
+        cuts = thresholds(left)
+        ranked, path = stash(left.withColumn("ranks", ranks(cuts)), "ranked")
+        grow, prune = ranked.where("growing"), ranked.where("not growing")
         (b0, g0) = counts(grow, [()])[0]
         rule: Rule = ()
         while b0 and g0 and len(rule) < MAX_CONDITIONS:
@@ -185,20 +186,34 @@ def learn(labelled: DataFrame) -> list[Rule]:
             if best is None:
                 break
             rule, (b0, g0) = (*rule, best), now
-        if not rule:
-            break
         # the shortest beginning of the rule that is most precise on rows it was not grown on
         heads = [rule[: k + 1] for k in range(len(rule))]
-        scored = [((b + 1) / (b + g + 2), b, h) for h, (b, g) in zip(heads, counts(prune, heads), strict=True)]
-        worth, covered, rule = max(scored, key=lambda x: (round(x[0], 3), -len(x[2])))
-        if worth < LEAST_PRECISION or covered < max(2, LEAST_COVER * total["b"] / 2):
+        scored = [((b + 1) / (b + g + 2), b, g, h) for h, (b, g) in zip(heads, counts(prune, heads), strict=True)] if heads else []
+        discard(spark, path)
+        if not scored:
+            break
+        worth, covered, wrong, rule = max(scored, key=lambda x: (round(x[0], 3), -len(x[3])))
+        if worth < LEAST_WORTH or covered < LEAST_PRECISION * (covered + wrong) or covered < max(2, LEAST_COVER * total["b"] / 3):
             break
         rules.append(rule)
         left = left.where(f"not ({sql_of(rule)})")
-    discard(spark, path)
     return rules
 
 
+def thresholds(rows: DataFrame) -> dict[str, list[float]]:
+    """Cuts of each statistic: quantiles of the rejected and of the good rows."""
+    at = F.array(*[F.lit((k + 0.5) / QUANTILES) for k in range(QUANTILES)])
+    found = rows.groupBy("bad").agg(*[F.percentile(F.col(c), at).alias(c) for c in STATISTICS]).collect()
+    return {c: sorted({float(v) for row in found for v in row[c]}) for c in STATISTICS}
+
+
+def ranks(cuts: dict[str, list[float]]) -> Column:
+    """Per statistic, how many cuts are at most and how many are below a row's value."""
+    literal = lambda values: F.array(*[F.lit(v) for v in values])
+    rank = lambda c, test: F.size(F.filter(literal(cuts[c]), lambda x: test(x, F.col(c))))
+    return F.array(*[F.struct(F.lit(i).alias("c"), rank(c, lambda x, v: x <= v).alias("upto"), rank(c, lambda x, v: x < v).alias("below")) for i, c in enumerate(cuts)])
+
+
 def verdict(rules: list[Rule]) -> Column:
     """The list as an ordered conditional expression: kept unless a rule rejects."""
     out = "true"
@@ -234,8 +249,8 @@ def assess(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     empty texts have zero counts and fail. Rows that repeat an id are judged alike.
     """
     stats, _ = stash(statistics(docs, doc_id, text), "statistics")
-    rules = decision_list(stats, labels)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rules = decision_list(stats.where(~failed), labels)  # the list judges what the base leaves
     got = with_statistics(stats).withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules)))
     return got, rules
 
