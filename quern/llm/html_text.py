@@ -4,7 +4,8 @@ A page becomes blocks of text, each with its root-to-leaf path of block tags and
 classes. Text length and punctuation are aggregated per path; their ratios to the
 path's blocks are smoothed along the page by a Gaussian, averaged per path again,
 fused, and paths above a threshold are selected. The container that holds most of
-the selected text then gives the article: its blocks in page order, but for those
+the selected text, an article or main element as a whole, then gives the article: its
+blocks and those selected outside it in page order, with their headings, but for those
 under boilerplate tags or names and those of paths that are mostly links.
 """
 
@@ -25,6 +26,8 @@ from .common import chunks, short_batches
 BATCH = 256
 #: Share of the mean fused ratio (by text) that a path needs; share of selected text that lets a container go deeper.
 THRESHOLD, DEEPER = 0.25, 0.8
+#: Elements that are returned whole, and those that are a part of an article among others.
+WHOLE, UNDIVIDED = ("article", "main"), ("p", "li", "td", "blockquote", "ul", "ol", "dl", "table", "pre", "h1", "h2", "h3", "h4", "h5", "h6")
 #: Paths with this share of text in links, over two blocks or more, are lists of links.
 LINKS = 0.6
 
@@ -200,7 +203,7 @@ def select(nodes: list[Node], blocks: list[Block]) -> list[Block]:
     while down:
         down = False
         for n in held:
-            if nodes[n].parent == inside and nodes[n].tag not in ("p", "li", "td", "blockquote", *HEADINGS) and held[n] >= DEEPER * held[0]:
+            if nodes[n].parent == inside and nodes[inside].tag not in WHOLE and nodes[n].tag not in UNDIVIDED and held[n] >= DEEPER * held[0]:
                 inside, down = n, True
                 break
 
@@ -211,7 +214,17 @@ def select(nodes: list[Node], blocks: list[Block]) -> list[Block]:
             n = nodes[n].parent
         return False
 
-    return [b for b, k in zip(left, ids, strict=True) if not listed[k] and (under(b.node) if inside else chosen[k])]
+    within = [under(b.node) if inside else bool(chosen[k]) for b, k in zip(left, ids, strict=True)]
+    # outside the container: selected blocks, and headings beside them or on the way down
+    around, n = set(), inside
+    while n >= 0:
+        around.add(n)
+        n = nodes[n].parent
+    for b, k, w in zip(left, ids, within, strict=True):
+        if chosen[k] and not w:
+            around |= {b.node, nodes[b.node].parent}
+    beside = lambda b: nodes[b.node].tag in HEADINGS and nodes[b.node].parent in around
+    return [b for b, k, w in zip(left, ids, within, strict=True) if not listed[k] and (w or chosen[k] or beside(b))]
 
 
 def main_text(page: str | None) -> str:
