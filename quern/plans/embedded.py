@@ -129,7 +129,7 @@ q_e AS (SELECT e.target_id AS claim_id, e.relation, CASE WHEN nli_edge_confidenc
 q_x AS (SELECT claim_id, 1 + sum(CASE WHEN relation = 'supports' THEN c ELSE 0 END::DECIMAL(18,9))::DOUBLE AS a, 1 + sum(CASE WHEN relation = 'refutes' THEN c ELSE 0 END::DECIMAL(18,9))::DOUBLE AS b, count(*) FILTER (relation = 'supports') AS s, count(*) FILTER (relation = 'refutes') AS r, count(DISTINCT page_id) AS sources, min(year) AS oldest, max(year) AS newest FROM q_e GROUP BY 1)
 SELECT c.id AS claim_id, round(coalesce(a / (a + b), 0.5::DOUBLE), 3) AS confidence, round(coalesce(sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), sqrt(1::DOUBLE / 12)), 3) AS uncertainty, coalesce(s, 0) AS supporting, coalesce(r, 0) AS refuting, coalesce(sources, 0) AS independent_sources, oldest, newest FROM g_claims c LEFT JOIN q_x ON q_x.claim_id = c.id""")
 on_graph("G7_contradicted_claims", gr.contradicted_claims, "SELECT target_id AS claim_id, count(*) AS refuting, max(nli_edge_confidence) AS strongest FROM g_nli WHERE relation = 'refutes' GROUP BY 1")
-on_graph("G9_citation_loops", lambda g: gr.citation_loops(g.cites, 3), """
+on_graph("G9_citation_loops", lambda g: gr.citation_loops(g.cites, 5), """
 q_c AS (SELECT source_id AS s, target_id AS t FROM g_cites),
 q_2 AS (SELECT [a.s, a.t] AS p FROM q_c a JOIN q_c b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t),
 q_3 AS (SELECT [a.s, a.t, b.t] AS p FROM q_c a JOIN q_c b ON b.s = a.t JOIN q_c c ON c.s = b.t AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t)
@@ -151,8 +151,8 @@ q_same AS (SELECT c.s, c.t FROM q_c c JOIN g_pages a ON a.id = c.s JOIN g_pages
 q_f AS (SELECT unnest(p) AS id, CASE WHEN len(p) <= 2 THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END AS f FROM q_loops UNION ALL SELECT a, 0.3::DOUBLE FROM q_trips UNION ALL SELECT b, 0.3::DOUBLE FROM q_trips UNION ALL SELECT s, 0.1::DOUBLE FROM q_c WHERE s = t UNION ALL SELECT s, 0.5::DOUBLE FROM q_same UNION ALL SELECT t, 0.6::DOUBLE FROM q_same),
 q_pen AS (SELECT p.id AS page_id, round(least(1, coalesce(exp(sum(ln(f))), 1)), 9) AS penalty FROM g_pages p LEFT JOIN q_f ON q_f.id = p.id GROUP BY 1)
 """
-on_graph("G12_citation_penalties", lambda g: gr.citation_penalties(g, 3).select("page_id", F.round("penalty", 6).alias("penalty")), LOOPS + "SELECT page_id, round(penalty, 6) AS penalty FROM q_pen")
-on_graph("G13_integrity", lambda g: gr.integrity(g, 3), LOOPS + """, q_bad AS (SELECT unnest(p) AS id FROM q_loops UNION SELECT a FROM q_trips UNION SELECT b FROM q_trips UNION SELECT s FROM q_same UNION SELECT s FROM q_c WHERE s = t)
+on_graph("G12_citation_penalties", lambda g: gr.citation_penalties(g, 5).select("page_id", F.round("penalty", 6).alias("penalty")), LOOPS + "SELECT page_id, round(penalty, 6) AS penalty FROM q_pen")
+on_graph("G13_integrity", lambda g: gr.integrity(g, 5), LOOPS + """, q_bad AS (SELECT unnest(p) AS id FROM q_loops UNION SELECT a FROM q_trips UNION SELECT b FROM q_trips UNION SELECT s FROM q_same UNION SELECT s FROM q_c WHERE s = t)
 SELECT (SELECT count(*) FROM g_pages) AS pages, (SELECT count(*) FROM q_bad) AS problematic, (SELECT count(*) FROM q_pen WHERE penalty < 0.9) AS penalised, round(1 - (SELECT count(*) FROM q_bad)::DOUBLE / (SELECT count(*) FROM g_pages), 3) AS integrity""")
 on_graph("G22_claim_relations", lambda g: gr.claim_relations(g, 1), LOCATED + """, q_t AS (SELECT DISTINCT claim_id, fragment_id, page_id FROM q_located WHERE task_id = 1 AND relation IN ('supports', 'origin')),
 q_pairs AS (SELECT a.claim_id AS a, b.claim_id AS b, 1 AS kind FROM q_t a JOIN q_t b ON a.fragment_id = b.fragment_id AND a.claim_id < b.claim_id UNION ALL SELECT a.claim_id, b.claim_id, 2 FROM q_t a JOIN q_t b ON a.page_id = b.page_id AND a.claim_id < b.claim_id)

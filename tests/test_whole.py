@@ -45,3 +45,52 @@ def test_betweenness_of_all_citations(spark):
 def test_relations_of_all_entities(spark):
     got = [tuple(r) for r in plans.QUERIES["G24_entity_relations"](spark, SF).select("entity", "neighbour").collect()]
     assert sorted(got) == sorted((r.source_id, r.target_id) for r in bridge(spark, SF).cites.collect())
+
+
+def loops(e, longest=5):
+    """All simple cycles, each from its smallest page."""
+    out: dict = {}
+    for a, b in e:
+        out.setdefault(a, []).append(b)
+    found = []
+
+    def walk(path):
+        for b in out.get(path[-1], ()):
+            if b == path[0]:
+                found.append(tuple(path))
+            elif b > path[0] and b not in path and len(path) < longest:
+                walk([*path, b])
+
+    for s in out:
+        walk([s])
+    return found
+
+
+def test_loops_up_to_the_production_bound(spark):
+    e, pages = citations(spark), {r.id: (r.domain or "").lower() for r in bridge(spark, SF).pages.collect()}
+    found = loops(e)
+    assert {len(p) for p in found} >= {4, 5}
+    got = [(tuple(r.path), r.severity) for r in plans.QUERIES["G9_citation_loops"](spark, SF).collect()]
+    assert sorted(got) == sorted((p, {1: "critical", 2: "critical", 3: "high"}.get(len(p), "medium")) for p in found)
+    factor, bad = dict.fromkeys(pages, 1.0), set()
+
+    def hit(page, f, problem=True):
+        if page in factor:
+            factor[page] *= f
+        if problem:
+            bad.add(page)
+
+    for p in found:
+        for x in p:
+            hit(x, {1: 0.2, 2: 0.2, 3: 0.4}.get(len(p), 0.6))
+    for a, b in e:
+        if a <= b and (b, a) in e:
+            hit(a, 0.3), hit(b, 0.3)
+        if a == b:
+            hit(a, 0.1)
+        elif a in pages and b in pages and pages[a] == pages[b]:
+            hit(a, 0.5), hit(b, 0.6, False)
+    got = {r.page_id: r.penalty for r in plans.QUERIES["G12_citation_penalties"](spark, SF).collect()}
+    assert got == pytest.approx({k: min(1.0, v) for k, v in factor.items()}, abs=2e-6)
+    r = plans.QUERIES["G13_integrity"](spark, SF).first()
+    assert (r.pages, r.problematic, r.penalised) == (len(pages), len(bad), sum(v < 0.9 for v in factor.values()))
