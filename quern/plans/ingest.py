@@ -89,5 +89,6 @@ def a11(spark, sf_dir):
 
 @query("A20_sitemap", "SELECT page_id, [url] AS locs FROM pages WHERE url NOT LIKE '%&%' AND url NOT LIKE '%<%'")
 def a20(spark, sf_dir):
-    xml = F.concat(F.lit("<urlset><url><loc> "), "url", F.lit("</loc></url></urlset>"))
-    return table(spark, sf_dir, "pages").where("url not like '%&%' and url not like '%<%'").select("page_id", F.transform(tb.sitemap_entries(xml), lambda e: e["loc"]).alias("locs"))
+    safe = F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = F.concat(F.lit("<urlset><url><loc> "), safe, F.lit("</loc></url></urlset>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.transform(tb.sitemap_entries(xml), lambda e: e["loc"]).alias("locs"))

@@ -62,7 +62,7 @@ def f10(spark, sf_dir):
 
 @query("F18_clean_input", "SELECT conv_id, turn, length(text) <= 4000 AS short, false AS flagged FROM conversations WHERE text NOT ILIKE '%instructions%'")
 def f18(spark, sf_dir):
-    d = ru.clean_input(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).where("not lower(text) like '%instructions%'")
+    d = ru.clean_input(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return d.select("conv_id", "turn", (F.length("text") <= 4000).alias("short"), "flagged")
 
 
@@ -94,7 +94,7 @@ def h10(spark, sf_dir):
 def h13(spark, sf_dir):
     p = col("page_id") % 4
     h = F.concat("html", F.when(p == 0, '<form action="/login"><input type="password"></form>').when(p == 1, "Checking your browser").otherwise(""))
-    return table(spark, sf_dir, "pages").where("not lower(html) like '%cookie%' and not lower(html) like '%captcha%'").select("page_id", ru.page_state(h).alias("state"))
+    return table(spark, sf_dir, "pages").select("page_id", ru.page_state(h).alias("state"))
 
 
 @query("C18_line_diff", "WITH c AS (SELECT conv_id, turn, string_split(text, chr(10)) AS b, string_split(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role), ''), chr(10)) AS a FROM conversations) SELECT conv_id, turn, len(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x)))) AS added, len(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS removed FROM c")
@@ -128,7 +128,7 @@ def x11(spark, sf_dir):
 @query("X29_dates", r"SELECT conv_id, turn, ['12/31/2023', '2024-01-' || lpad((turn % 28 + 1)::VARCHAR, 2, '0')] AS dates FROM conversations WHERE NOT regexp_matches(text, '\d')")
 def x29(spark, sf_dir):
     t = F.concat(F.lit("On 2024-01-"), F.lpad((col("turn") % 28 + 1).cast("string"), 2, "0"), F.lit(" and 12/31/2023 and 12/31/2023. "), "text")
-    return table(spark, sf_dir, "conversations").where(r"not text rlike '[0-9]'").select("conv_id", "turn", ru.dates_in(t).alias("dates"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ru.dates_in(t).alias("dates"))
 
 
 @query("F23_entity_kinds", "SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'ip' WHEN 2 THEN 'domain' WHEN 3 THEN 'organization' ELSE 'person' END AS kind FROM (SELECT DISTINCT user_id FROM events)")

@@ -2,6 +2,7 @@
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -113,7 +114,11 @@ def cdx_snapshots(lines: DataFrame) -> DataFrame:
 
 def sitemap_entries(xml: Column) -> Column:
     """array<struct<loc, lastmod, changefreq, priority>> of a sitemap document."""
-    one = lambda x, tag: F.when(F.regexp_extract(x, f"(?s)<{tag}>\\s*(.*?)\\s*</{tag}>", 1) != "", F.regexp_extract(x, f"(?s)<{tag}>\\s*(.*?)\\s*</{tag}>", 1))
+    # the five entities of XML; & comes last, so that nothing is decoded twice
+    entities = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+    decoded = lambda c: reduce(lambda d, e: F.replace(d, F.lit(e), F.lit(entities[e])), entities, c)
+    part = lambda x, tag: F.regexp_extract(x, f"(?s)<{tag}>\\s*(.*?)\\s*</{tag}>", 1)
+    one = lambda x, tag: F.when(part(x, tag) != "", decoded(part(x, tag)))
     entry = lambda x: F.struct(one(x, "loc").alias("loc"), one(x, "lastmod").alias("lastmod"), one(x, "changefreq").alias("changefreq"), F.coalesce(F.when(one(x, "priority").rlike(r"^\d*\.?\d+$"), one(x, "priority").cast("double")), F.lit(0.5)).alias("priority"))
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<url>.*?</url>"), F.lit(0)), entry)
 
