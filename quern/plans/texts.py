@@ -207,13 +207,12 @@ def d8(spark, sf_dir):
 
 @query("D10_simhash_pairs")
 def d10(spark, sf_dir):
-    return dd.simhash_pairs(table(spark, sf_dir, "benchmark").select(col("item_id").alias("id"), "text").union(table(spark, sf_dir, "benchmark").select((col("item_id") + 1000).alias("id"), "text")))
+    return dd.simhash_pairs(texts(spark, sf_dir))
 
 
 @query("D12_hybrid_pairs")
 def d12(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(col("item_id").alias("id"), "text")
-    return dd.hybrid_pairs(b.union(b.select(col("id") + 1000, "text")))
+    return dd.hybrid_pairs(texts(spark, sf_dir))
 
 
 @query("D15_title_match", r"""WITH a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark), p AS (SELECT a.item_id AS l, b.item_id AS r, len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity FROM a, a b)

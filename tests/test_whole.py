@@ -1,6 +1,8 @@
 """Registered queries do the whole job, against plain computations."""
 
+import random
 from collections import deque
+from hashlib import md5
 
 import pytest
 
@@ -108,3 +110,34 @@ def test_no_row_is_left_out(spark, tmp_path):
     assert rows("F18_clean_input", "conv_id", "flagged") == {0: True, 1: False, 2: False, 3: False}
     given = ["12/31/2023", "2024-01-01"]
     assert rows("X29_dates", "conv_id", "dates") == {0: given, 1: given, 2: ["12/31/2023", "1999-12-31", "2024-01-01", "March 3, 2020"], 3: given}
+
+
+def test_hash_pairs_of_documents(spark, tmp_path):
+    r = random.Random(3)
+    base = [f"w{r.randrange(900)}" for _ in range(400)]
+    said = ["alpha beta gamma delta"] * 4 + [" ".join(base)] * 2 + [" ".join([*base[:-1], "end"]), " ".join(["first", *base[1:]]), "", "one two", "w1 w2 w3 w4 w5"]
+    spark.createDataFrame([(7 * k, t) for k, t in enumerate(said)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+    def bits(x):
+        d = [md5(s.encode()).hexdigest() for s in x]
+        n = [[int(s[p : p + 8], 16) for s in d] for p in (0, 8)]
+        return [sum(2 * (v >> b & 1) - 1 for v in half) > 0 for half in n for b in range(32)]
+
+    sets = {7 * k: x for k, t in enumerate(said) if (x := shingles(t))}
+    marks = {k: bits(x) for k, x in sets.items()}
+    far = lambda a, b: sum(x != y for x, y in zip(marks[a], marks[b], strict=True))
+    same = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    # a group of equals is paired with its first alone, and stands as it
+    first = lambda k, eq: min(x for x in sets if eq(x, k))
+    near = lambda eq: [(a, b) for a in sets for b in sets if a < b and first(a, eq) == a and (first(b, eq) in (a, b))]
+    equal = lambda a, b: marks[a] == marks[b]
+    want = {(a, b, far(a, b)) for a, b in near(equal) if far(a, b) <= 3}
+    got = [tuple(x) for x in plans.QUERIES["D10_simhash_pairs"](spark, str(tmp_path)).select("a", "b", "distance").collect()]
+    assert sorted(got) == sorted(want) and {(0, 7, 0), (0, 21, 0), (28, 35, 0)} <= want and any(x[2] for x in want)
+    want = {(a, b): same(a, b) for a, b in near(lambda x, y: sets[x] == sets[y]) if far(a, b) <= 3 and same(a, b) >= 0.5}
+    got = {(x.a, x.b): x.similarity for x in plans.QUERIES["D12_hybrid_pairs"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want) and (0, 21) in want
