@@ -29,11 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Shuffle files of a finished write go at once, not when the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it again: cuts the lineage, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, True)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, was) if was is not None else spark.conf.unset(SHUFFLES_GO)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -12,19 +12,26 @@ Documents are sets of five-word shingles; two link when 100*|A∩B| >= 80*|A∪B
 3. Lists are scanned for pairs that a size test and a bitmap bound leave; each scan
    keeps only as many pairs as hold its members together. Their components are the
    clusters in which all links lie.
-4. Within a cluster whole sets are compared, dealt in blocks of bounded bytes, all
-   pairs of blocks of like sizes; what is kept of the links holds the linked together.
-   Their components are the answer. No list, cluster or partner is capped.
+4. Within a cluster whole sets are compared; what is kept of the links holds the
+   linked together. Their components are the answer. No list, cluster or partner is capped.
+
+Only pairs that nothing yet holds together are compared, so a group of near copies
+takes work in proportion to its size. In a list or cluster that one group of a task
+holds, a few members meet all others first, and then only what stayed outside the
+largest component meets the rest. Longer ones are contracted before: a pivot meets all
+members in a join, twice; then the blocks of what joined meet only the blocks of what
+did not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, batch_hashes, chunks, components, discard, mix, shingle_set, short_batches, stash, window_hashes
@@ -32,10 +39,12 @@ from .common import SHINGLE, batch_hashes, chunks, components, discard, mix, shi
 THRESHOLD = (80, 100)
 #: Rows of the frequency table that orders shingles (12 MB at most). It decides costs, never results.
 ORDER_ROWS = 1_000_000
-#: Relative cost of one posting and of one comparison in a list.
-POST, SCAN = 1.0, 0.1
-#: Members of a list, and bytes of sets in a cluster, that one group of a task holds twice at most; more are dealt in blocks.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Relative cost of one posting and of one comparison in a list; members of a list that a posting meets, as near copies are met by few.
+POST, SCAN, MET = 1.0, 0.1, 64
+#: Members of a list, and bytes of sets in a cluster, that one group of a task holds twice at most; more are contracted and dealt in blocks.
+BLOCK, BLOCK_BYTES = 8192, 4 << 20
+#: Pivots that meet a whole list or cluster before it is dealt in blocks, and members that meet a group before the rest do.
+ROUNDS, SEEDS = 2, 8
 #: 64-bit words of a set's bitmap, and how often per pair it may lose a link of large sets at most.
 BITMAP, LOSS = 8, 1e-12
 BATCH = 512
@@ -49,23 +58,23 @@ def least_overlap(n, t=THRESHOLD):
 
 
 def frequencies(docs: DataFrame, text: str, min_local: int = 3, min_total: int = 16) -> tuple[DataFrame, DataFrame, str]:
-    """Shingles seen often, as (h, n), and one row of (occurrences, squares) per task.
+    """Shingles seen often, as (h, n), and one row of (occurrences, meetings) per task.
 
     A task counts its own rows, and those it saw at least min_local times are summed.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, squares = [], 0, 0.0
+        seen, total, met = [], 0, 0.0
 
         def flush():
-            nonlocal seen, total, squares
+            nonlocal seen, total, met
             if not seen:
                 return None
             h, n = np.unique(np.concatenate(seen), return_counts=True)
             seen = []
-            total, squares = total + int(n.sum()), squares + float((n.astype(np.float64) ** 2).sum())
+            total, met = total + int(n.sum()), met + float((n * np.minimum(n, MET)).sum())
             keep = n >= min_local
-            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.float64())], ["h", "n", "squares"])
+            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.float64())], ["h", "n", "met"])
 
         held = 0
         for batch in chunks(it, BATCH):
@@ -78,11 +87,11 @@ def frequencies(docs: DataFrame, text: str, min_local: int = 3, min_total: int =
                 held = 0
         if (last := flush()) is not None:
             yield last
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total]), pa.array([squares])], ["h", "n", "squares"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total]), pa.array([met])], ["h", "n", "met"])
 
-    got, path = stash(docs.select(text).mapInArrow(count, "h long, n long, squares double"), "counts")
+    got, path = stash(docs.select(text).mapInArrow(count, "h long, n long, met double"), "counts")
     often = got.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_total)
-    return often, got.where("h is null").select("n", "squares"), path
+    return often, got.where("h is null").select("n", "met"), path
 
 
 def boundary(mean_frequency: float) -> int:
@@ -229,46 +238,80 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-#: Groups of up to this many members are compared all at once.
-FEW = 8
+def tie(known: np.ndarray, hits: Callable[[np.ndarray], np.ndarray], step: int) -> np.ndarray:
+    """Smallest member of each member's component under the links that hits() tells, and known ones.
 
+    known names what is already held together; hits(k) gives a row of links to all
+    members for each of at most `step` members k. A few members meet all first. A pair
+    of different components then has a member outside the largest, and those meet all.
+    """
+    m = len(known)
+    order = np.argsort(known, kind="stable")
+    same = np.flatnonzero(known[order][1:] == known[order][:-1])
+    ii, jj, done = [order[same]], [order[same + 1]], np.zeros(m, bool)
+    label = spanning(ii[0], jj[0], m)
+
+    def meet(k: np.ndarray) -> None:
+        a, b = np.nonzero(hits(k))
+        done[k] = True
+        at = np.flatnonzero(label[k[a]] != label[b])
+        ii.append(k[a[at]])
+        jj.append(b[at])
+
+    for _ in range(SEEDS):
+        alone = np.flatnonzero(~done & (np.bincount(label, minlength=m)[label] == 1))
+        if not len(alone):
+            break
+        meet(alone[:1])
+        label = spanning(np.concatenate(ii), np.concatenate(jj), m)
+    rest = np.flatnonzero(~done & (label != np.bincount(label).argmax()))
+    for c in range(0, len(rest), step):
+        meet(rest[c : c + step])
+    return spanning(np.concatenate(ii), np.concatenate(jj), m)
 
-def scan_lists(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, cnt, doc, n, bits) that hold together what shares a key and may link.
 
-    A long list is dealt in blocks, all pairs of blocks; a group gives fewer pairs than members, a few-member one all.
-    """
-    d = lists.withColumn("nb", F.ceil(F.col("cnt") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    d = d.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("same"), "doc", "n", "bits")
-    d = d.repartition(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
+#: Groups of up to this many members are compared all at once, and pairs that are compared in one go.
+FEW, GO = 8, 1 << 17
+
+
+def scan_lists(lists: DataFrame, hot: bool) -> DataFrame:
+    """Pairs (a, b) of rows (key, cnt, doc, n, bits) that hold together what shares a key and may link; hot: a list may exceed BLOCK."""
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = lists.select(F.col("key").alias("g"), "doc", F.col("doc").alias("lab"), "n", "bits") if not hot else lists.where(F.col("cnt") <= BLOCK).select(F.col("key").alias("g"), "doc", F.col("doc").alias("lab"), "n", "bits")
+    forest = None
+    if hot:
+        dealt, forest = long_lists(lists.where(F.col("cnt") > BLOCK).select("key", "doc", "n", "bits"))
+        d = d.unionByName(dealt)
+    d = d.repartition(parts, "g").sortWithinPartitions("g")
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(it):
-            g, right, same, doc, n = (t.column(k).to_numpy() for k in range(5))
-            bits = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(len(g), BITMAP)
+            g, doc, lab, n = (t.column(k).to_numpy() for k in range(4))
+            bits = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(g), BITMAP)
             start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             size = np.diff(np.concatenate([start, [len(g)]]))
             few = np.repeat(size <= FEW, size)
             aa, bb = [], []
             for step in range(1, FEW):
-                i = np.flatnonzero(few[:-step] & (g[step:] == g[:-step]) & (same[step:] | (right[step:] != right[:-step]))) if len(g) > step else start[:0]
+                i = np.flatnonzero(few[:-step] & (g[step:] == g[:-step])) if len(g) > step else start[:0]
                 j = i + step
                 ok = may_link(n[i], n[j], bits[i], bits[j])
                 aa.append(doc[i[ok]])
                 bb.append(doc[j[ok]])
             for s0, m in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-                own, ii, jj = slice(s0, s0 + m), [], []
-                left = np.arange(m) if same[s0] else np.flatnonzero(~right[own])
-                against = np.arange(m) if same[s0] else np.flatnonzero(right[own])
-                for c in range(0, len(left), 128):
-                    i, j = np.repeat(left[c : c + 128], len(against)), np.tile(against, len(left[c : c + 128]))
-                    if same[s0]:
-                        i, j = i[i < j], j[i < j]
-                    ok = may_link(n[own][i], n[own][j], bits[own][i], bits[own][j])
-                    ii.append(i[ok])
-                    jj.append(j[ok])
-                label = spanning(np.concatenate(ii or [left[:0]]), np.concatenate(jj or [left[:0]]), m)
+                own = slice(s0, s0 + m)
+                on, ob = n[own], bits[own]
+                if m * m <= GO:
+                    i, j = np.triu_indices(m, 1)
+                    ok = may_link(on[i], on[j], ob[i], ob[j])
+                    label = spanning(i[ok], j[ok], m)
+                else:
+
+                    def hits(k, on=on, ob=ob, m=m):
+                        i, j = np.repeat(k, m), np.tile(np.arange(m), len(k))
+                        return may_link(on[i], on[j], ob[i], ob[j]).reshape(len(k), m)
+
+                    label = tie(lab[own], hits, max(1, GO // m))
                 k = np.flatnonzero(label != np.arange(m))
                 aa.append(doc[own][k])
                 bb.append(doc[own][label[k]])
@@ -277,150 +320,263 @@ def scan_lists(lists: DataFrame) -> DataFrame:
             if len(u):
                 yield pa.RecordBatch.from_pandas(u, preserve_index=False)
 
-    return d.mapInArrow(scan, "a long, b long").distinct()
+    got = d.mapInArrow(scan, "a long, b long")
+    return (got if forest is None else got.unionByName(forest)).distinct()
+
+
+def long_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (g, doc, lab, n, bits) of lists(key, doc, n, bits) dealt in blocks, and the pairs that pivots have tied already.
+
+    A pivot of each list meets the list, then one of what it left. What is tied to the
+    first pivot, on whatever way, is not compared among itself.
+    """
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in it:
+            n, pn = (t.column(k).to_numpy() for k in (2, 5))
+            bits, pb = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint64).reshape(len(n), BITMAP) for k in (3, 6))
+            yield pa.RecordBatch.from_arrays([*t.columns[:5], pa.array(may_link(n, pn, bits, pb))], ["key", "doc", "n", "bits", "pivot", "tied"])
+
+    active, met, first = lists, [], None
+    for k in range(ROUNDS):
+        pivots = active.groupBy("key").agg(F.min_by(F.struct("doc", "n", "bits"), F.xxhash64("doc", F.lit(k))).alias("p")).select("key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.bits").alias("pb"))
+        rows = active.join(pivots, "key").select("key", "doc", "n", "bits", "pivot", "pn", "pb")
+        got, _ = stash(rows.mapInArrow(meet, "key long, doc long, n long, bits binary, pivot long, tied boolean"), "pivots")
+        met.append(got.where("tied").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct())
+        first = first if first is not None else got.select("key", "pivot").distinct()
+        active = got.where("not tied").select("key", "doc", "n", "bits")
+    forest, _ = stash(reduce(DataFrame.unionByName, met).where("a != b").distinct(), "tied")
+    comp, _ = components(forest)
+    of = lambda node, name: comp.select(F.col("node").alias(node), F.col("component").alias(name))
+    first = first.join(of("pivot", "top"), "pivot", "left").select("key", F.coalesce("top", "pivot").alias("top"))
+    d = lists.join(of("doc", "lab"), "doc", "left").withColumn("lab", F.coalesce("lab", "doc")).join(first, "key").withColumn("main", F.col("lab") == F.col("top"))
+    blocks = lambda cond: F.ceil(F.sum(F.when(cond, 1).otherwise(0)) / BLOCK).cast("int")
+    d = d.join(d.groupBy("key").agg(blocks(F.col("main")).alias("nc"), blocks(~F.col("main")).alias("nt")), "key")
+    own = F.pmod(F.xxhash64("doc", F.lit(3)), F.when(F.col("main"), F.col("nc")).otherwise(F.col("nt"))).cast("int")
+    return deal(d.withColumn("own", own), "key").select("g", "doc", "lab", "n", "bits"), forest
+
+
+def deal(d: DataFrame, key: str) -> DataFrame:
+    """A row, with its group g, for each pair of blocks that a row of (key, main, own, nc, nt) belongs to: all pairs but those of main blocks.
+
+    There is a main block at least, and the other blocks meet themselves when they meet it.
+    """
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own, others = F.col("own"), F.filter(upto(F.col("nt")), lambda o: o != F.col("own"))
+    mixed = F.transform(upto(F.when(F.col("main"), F.col("nt")).otherwise(F.col("nc"))), lambda o: F.xxhash64(key, F.lit("main"), F.when(F.col("main"), own).otherwise(o), F.when(F.col("main"), o).otherwise(own)))
+    rest = F.transform(others, lambda o: F.xxhash64(key, F.lit("rest"), F.least(own, o), F.greatest(own, o)))
+    return d.withColumn("g", F.explode(F.concat(mixed, F.when(F.col("main"), F.array().cast("array<bigint>")).otherwise(rest))))
 
 
-def compare(sets: list[np.ndarray], right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the sets that link; of different sides unless `same`."""
+def compare(sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """Smallest member of each set's component under the links of the sets, and known ones."""
     n = np.array([len(x) for x in sets])
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        ok = (same or right[0] != right[1]) and both * THRESHOLD[1] >= THRESHOLD[0] * (n.sum() - both)
-        return np.zeros(int(ok), np.int64), np.ones(int(ok), np.int64)
-    # an inverted index of the group; each member counts what it shares with all others at once
+    # an inverted index of the group: a member counts what it shares with all others at once
     own = np.repeat(np.arange(len(sets)), n)
     _, element, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     at = np.concatenate([[0], np.cumsum(df)])
     posting = own[np.argsort(element, kind="stable")]
     first = np.concatenate([[0], np.cumsum(n)])
-    ii, jj = [], []
-    for k in range(len(sets)):
-        e = element[first[k] : first[k + 1]]
+
+    def hits(k: np.ndarray) -> np.ndarray:
+        e = element[first[k[0]] : first[k[0] + 1]]
         length = df[e]
         where = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(at[e], length)
         both = np.bincount(posting[where], minlength=len(sets))
-        ok = both * THRESHOLD[1] >= THRESHOLD[0] * (n[k] + n - both)
-        ok[: k + 1] = False
-        if not same:
-            ok &= right != right[k]
-        j = np.flatnonzero(ok)
-        ii.append(np.full(len(j), k))
-        jj.append(j)
-    return np.concatenate(ii), np.concatenate(jj)
+        return (both * THRESHOLD[1] >= THRESHOLD[0] * (n[k[0]] + n - both))[None]
 
+    return tie(known, hits, 1)
 
-def link_clusters(docs: DataFrame, doc_id: str, text: str, members: DataFrame) -> DataFrame:
-    """Links (a, b) that hold together what links within clusters; members is (doc, n, component).
 
-    Sizes fall in bands a quarter apart, so that links lie within a band or between
-    neighbours; a band of many bytes is dealt in blocks.
-    """
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0])) + 1e-9).cast("int")
-    m = members.withColumn("band", band)
-    w = m.groupBy("component", "band").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("nb"), F.count("*").alias("docs"))
-    near = lambda step, name: w.select(F.col("component").alias("c"), (F.col("band") + step).alias("d"), F.col("nb").alias(name))
-    at = lambda d: (F.col("component") == F.col("c")) & (F.col("band") == F.col("d"))
-    w = w.join(near(-1, "up"), at(None), "left").drop("c", "d").join(near(1, "down"), at(None), "left").drop("c", "d")
-    w = w.where("docs > 1 or up is not null or down is not null").select(F.col("component").alias("c"), F.col("band").alias("d"), "nb", "up", "down")
-    m = m.join(w, at(None)).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
-    cells = lambda k: F.sequence(F.lit(0), k - 1)
-    cell = lambda a, b, band, right, same: F.struct(F.xxhash64("component", band, a, b, same).alias("g"), right.alias("right"), same.alias("same"))
-    none = F.array().cast("array<struct<g:bigint,right:boolean,same:boolean>>")
-    own, here = F.col("own"), F.col("band")
-    # with the blocks of its own band, as the smaller with those of the next band, as the larger with those of the one before
-    inner = F.transform(cells(F.col("nb")), lambda o: cell(F.least(own, o), F.greatest(own, o), here, own > o, own == o))
-    upper = F.when(F.col("up").isNotNull(), F.transform(cells(F.col("up")), lambda o: cell(own, o, -here - 1, F.lit(False), F.lit(False)))).otherwise(none)
-    lower = F.when(F.col("down").isNotNull(), F.transform(cells(F.col("down")), lambda o: cell(o, own, -here, F.lit(True), F.lit(False)))).otherwise(none)
-    m = m.select(F.col("doc").alias("__d"), F.concat(inner, upper, lower).alias("cells"))
-    m, path = stash(m, "cells")
-    if m.count() <= BROADCAST_IDS // 4:
-        m = F.broadcast(m)
-    texts = docs.select(F.col(doc_id).alias("doc"), text).join(m, F.col("doc") == F.col("__d")).select("doc", text, "cells")
+def packed(docs: DataFrame, text: str, cells: DataFrame, columns: str) -> DataFrame:
+    """(doc, <columns>, shingles) for the documents in cells(__d, <columns>), which are broadcast if few."""
+    if cells.count() <= BROADCAST_IDS // 4:
+        cells = F.broadcast(cells)
+    names = [c.split()[0] for c in columns.split(", ")]
+    texts = docs.select("doc", text).join(cells, F.col("doc") == F.col("__d")).select("doc", *names, text)
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(it, BATCH):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([shingle_set(h).tobytes() for h in batch_hashes(batch, text)], pa.binary())], ["doc", "cells", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([shingle_set(h).tobytes() for h in batch_hashes(batch, text)], pa.binary())], ["doc", *names, "shingles"])
+
+    return texts.mapInArrow(pack, f"doc long, {columns}, shingles binary")
+
 
-    cells_type = "array<struct<g:bigint,right:boolean,same:boolean>>"
-    d = texts.mapInArrow(pack, f"doc long, cells {cells_type}, shingles binary").select("doc", F.explode("cells").alias("c"), "shingles").select("c.g", "c.right", "c.same", "doc", "shingles")
-    d = d.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
+def long_clusters(docs: DataFrame, text: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, g) of members(doc, n, component) dealt in blocks, with lab, what pivots have tied; and those pairs.
+
+    Sizes fall in bands a quarter apart, so that links lie within a band or between
+    neighbours. In each band the largest tied part is its main part, which is not
+    compared among itself, nor with the main part of the next band if they are tied.
+    """
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in it:
+            tied = []
+            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * THRESHOLD[1] >= max(len(a), len(b)) * THRESHOLD[0] else 0
+                tied.append(both * THRESHOLD[1] >= THRESHOLD[0] * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(tied, pa.bool_())], ["doc", "pivot", "tied"])
+
+    active, met = members.select("doc", "component"), []
+    for k in range(ROUNDS):
+        pivots, _ = stash(active.groupBy("component").agg(F.min_by("doc", F.xxhash64("doc", F.lit(k))).alias("pivot")), "pivots")
+        sets, _ = stash(packed(docs, text, pivots.select(F.col("pivot").alias("__d"), "component"), "component long").select(F.col("doc").alias("pivot"), "component", F.col("shingles").alias("ps")), "sets")
+        rows = packed(docs, text, active.select(F.col("doc").alias("__d"), "component"), "component long").join(sets, "component").select("doc", "pivot", "shingles", "ps")
+        got, _ = stash(rows.mapInArrow(meet, "doc long, pivot long, tied boolean"), "met")
+        met.append(got.where("tied and doc != pivot").select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")))
+        active = active.join(got.where("not tied").select("doc"), "doc", "left_semi")
+    forest, _ = stash(reduce(DataFrame.unionByName, met), "tied")
+    comp, _ = components(forest)
+    m = members.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0])) + 1e-9).cast("int"))
+    m = m.join(comp.select(F.col("node").alias("doc"), F.col("component").alias("lab")), "doc", "left").withColumn("lab", F.coalesce("lab", "doc"))
+    w = m.groupBy("component", "band", "lab").agg(F.sum(F.col("n") * 8).alias("bytes")).groupBy("component", "band").agg(F.max_by("lab", F.struct("bytes", "lab")).alias("top"), F.max("bytes").alias("most"), F.sum("bytes").alias("all"))
+    w = w.select("component", "band", "top", F.ceil(F.col("most") / BLOCK_BYTES).cast("int").alias("nc"), F.ceil((F.col("all") - F.col("most")) / BLOCK_BYTES).cast("int").alias("nt"))
+    w, _ = stash(w, "bands")
+    m = m.join(w, ["component", "band"]).withColumn("main", F.col("lab") == F.col("top"))
+    m = m.withColumn("own", F.pmod(F.xxhash64("doc", F.lit(3)), F.when(F.col("main"), F.col("nc")).otherwise(F.col("nt"))).cast("int")).withColumn("kb", F.xxhash64("component", "band"))
+    within = deal(m, "kb").select("doc", "lab", "g")
+    # blocks of a band are numbered, main ones first; a pair of neighbouring bands is named by the lower
+    m = m.select("doc", "lab", "component", "band", "top", "main", "nc", F.when(F.col("main"), F.col("own")).otherwise(F.col("nc") + F.col("own")).alias("block"))
+    across = []
+    for up in (1, -1):
+        other = w.select("component", (F.col("band") - up).alias("band"), F.col("top").alias("otop"), F.col("nc").alias("onc"), (F.col("nc") + F.col("nt")).alias("blocks"))
+        x = m.join(other, ["component", "band"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        x = x.where(~(F.col("main") & (F.col("o") < F.col("onc")) & (F.col("top") == F.col("otop"))))
+        low, high = ("block", "o") if up == 1 else ("o", "block")
+        across.append(x.select("doc", "lab", F.xxhash64("component", F.least(F.col("band"), F.col("band") + up), F.lit("across"), low, high).alias("g")))
+    return reduce(DataFrame.unionByName, across, within), forest
+
+
+def link_clusters(docs: DataFrame, text: str, members: DataFrame) -> tuple[DataFrame, str]:
+    """Links (a, b) that hold together what links within clusters; members is (doc, n, component). Also the path of the table behind them."""
+    spark = docs.sparkSession
+    size = members.groupBy("component").agg((F.sum("n") * 8).alias("bytes"))
+    large, p0 = stash(size.where(F.col("bytes") > BLOCK_BYTES), "large")
+    forest = None
+    if large.limit(1).count():
+        dealt, forest = long_clusters(docs, text, members.join(large.select("component"), "component", "left_semi"))
+        cells = members.join(large.select("component"), "component", "left_anti").select("doc", F.col("doc").alias("lab"), F.col("component").alias("g")).unionByName(dealt)
+    else:
+        cells = members.select("doc", F.col("doc").alias("lab"), F.col("component").alias("g"))
+    cells, p1 = stash(cells.groupBy(F.col("doc").alias("__d"), "lab").agg(F.collect_list("g").alias("gs")), "cells") if forest is not None else (cells.select(F.col("doc").alias("__d"), "lab", F.array("g").alias("gs")), "")
+    d = packed(docs, text, cells, "lab long, gs array<long>").select(F.explode("gs").alias("g"), "doc", "lab", "shingles")
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g")
 
     def link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(b for x in it for b in chunks(iter([x]), 2048)):
-            g, right, same, doc = (t.column(k).to_numpy() for k in range(4))
-            sets = [np.frombuffer(x, np.uint64) for x in t.column(4).to_pylist()]
+            g, doc, lab = (t.column(k).to_numpy() for k in range(3))
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(3).to_pylist()]
             start = np.concatenate([np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), [len(g)]])
             aa, bb = [], []
             for s0, s1 in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                if s1 - s0 > 1:
-                    i, j = compare(sets[s0:s1], right[s0:s1], bool(same[s0]))
-                    label = spanning(i, j, s1 - s0)
-                    k = np.flatnonzero(label != np.arange(s1 - s0))
-                    aa.append(doc[s0:s1][k])
-                    bb.append(doc[s0:s1][label[k]])
+                if s1 - s0 == 2:
+                    x, y = sets[s0], sets[s0 + 1]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    label = np.zeros(2, np.int64) if both * THRESHOLD[1] >= THRESHOLD[0] * (len(x) + len(y) - both) else np.arange(2)
+                else:
+                    label = compare(sets[s0:s1], lab[s0:s1])
+                k = np.flatnonzero(label != np.arange(s1 - s0))
+                aa.append(doc[s0:s1][k])
+                bb.append(doc[s0:s1][label[k]])
             if aa and sum(map(len, aa)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(aa)), pa.array(np.concatenate(bb))], ["a", "b"])
 
-    got, _ = stash(d.mapInArrow(link, "a long, b long"), "similar")
-    discard(docs.sparkSession, path)
-    return got
-
+    links = d.mapInArrow(link, "a long, b long")
+    got, path = stash(links if forest is None else links.unionByName(forest), "similar")
+    discard(spark, *[p for p in (p0, p1) if p])
+    return got, path
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
 
-    Null or wordless text: 0 shingles, linked with nothing. Rows that repeat a
-    doc_id share its component; a null doc_id gives a null component_id unless its
-    set equals another document's. Other columns are ignored, whatever their names.
-    """
+def join_unique(docs: DataFrame) -> DataFrame:
+    """(doc, n, component) for rows (doc, text) whose ids are unique and not null; component: the smallest id reached."""
     spark = docs.sparkSession
-    short_batches(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     often, work, p0 = frequencies(docs, "text")
-    top = often.orderBy(F.desc("n"), "h").limit(ORDER_ROWS).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = often.orderBy(F.desc("n"), "h").limit(ORDER_ROWS).toArrow()
+    h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    total = work.agg(F.sum("n").alias("n"), F.sum("squares").alias("s")).first()
+    total = work.agg(F.sum("n").alias("n"), F.sum("met").alias("s")).first()
     small = boundary((total["s"] or 0) / max(total["n"] or 0, 1))
-    prof, p1 = stash(profiles(docs, "doc_id", "text", (h[order], top["n"].to_numpy(np.int64)[order]), small), "profiles")
+    prof, p1 = stash(profiles(docs, "doc", "text", (h[order], top.column("n").to_numpy()[order]), small), "profiles")
+    del top
     discard(spark, p0)
 
     named = ["n", "s1", "s2"]
-    classes = prof.where("n > 0").groupBy(*named).agg(F.min("doc").alias("rep"))
-    classes, p2 = stash(classes, "classes")
+    # classes of more than one row; a class may be large, but it is one row here, and so cheap to broadcast
+    multi, p2 = stash(prof.where("n > 0").groupBy(*named).agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "classes")
+    several = few(multi)
     # the copies are told from their representatives by id, so that no signature is shuffled for it
-    copies = prof.where("n >= 4 and doc is not null").select("doc", *named).join(classes, named).where("doc != rep").select("doc").distinct()
-    if copies.count() <= BROADCAST_IDS:
-        copies = F.broadcast(copies)
-    reps = prof.where("n >= 4 and doc is not null").join(copies, "doc", "left_anti")
+    copies = few(prof.where("n >= 4").select("doc", *named).join(several, named).where("doc != rep").select("doc"))
+    reps = prof.where("n >= 4").join(copies, "doc", "left_anti")
 
     post = reps.select(F.explode("keys").alias("key"), "doc")
-    lists = post.withColumn("cnt", F.count("*").over(Window.partitionBy("key"))).where("cnt > 1")
-    lists, p3 = stash(lists, "lists")
-    bm = reps.select("doc", "n", "bits").dropDuplicates(["doc"])
-    forest, p4 = stash(scan_lists(lists.join(bm, "doc").select("key", "cnt", "doc", "n", "bits")), "forest")
+    shared = post.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    lists, p3 = stash(post.join(shared, "key"), "lists")
+    longest = lists.agg(F.max("cnt")).first()[0] or 0
+    bm = reps.select("doc", "n", "bits")
+    forest, p4 = stash(scan_lists(lists.join(bm, "doc").select("key", "cnt", "doc", "n", "bits"), longest > BLOCK), "forest")
+    discard(spark, p3)
     clusters, p5 = components(forest)
-    links = link_clusters(docs, "doc_id", "text", clusters.withColumnRenamed("node", "doc").join(bm.select("doc", "n"), "doc"))
-    comp, p6 = components(links)
-
-    lab = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*named, F.coalesce("component", "rep").alias("component_id"))
-    out = prof.select("doc", *named).join(lab, named, "left")
-    out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc")).alias("component_id"))
-    out, _ = stash(out, "joined")
-    discard(spark, *[p for p in (p1, p2, p3, p4, p5, p6) if p])
+    members, p8 = stash(clusters.withColumnRenamed("node", "doc").join(bm.select("doc", "n"), "doc"), "members")
+    links, p6 = link_clusters(docs, "text", members)
+    comp, p7 = components(links)
+
+    # a row of several takes what its representative has, all others what they have themselves: no copies meet at a key
+    linked = lambda node, name: comp.select(F.col("node").alias(node), F.col("component").alias(name))
+    of = few(multi.join(linked("rep", "c"), "rep", "left").select(*named, F.coalesce("c", "rep").alias("class")))
+    out = prof.select("doc", *named).join(of, named, "left").join(few(linked("doc", "own")), "doc", "left")
+    out, _ = stash(out.select("doc", "n", F.coalesce("class", "own", "doc").alias("component")), "joined")
+    discard(spark, *[p for p in (p1, p2, p4, p5, p6, p7, p8) if p])
+    return out
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Broadcast when BROADCAST_IDS rows at most; else the join shuffles, and adaptive execution splits a hot key of the other side."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def odd(docs: DataFrame, doc_id: str) -> bool:
+    """Whether an id repeats or is null."""
+    return bool(docs.groupBy(doc_id).agg(F.count("*").alias("__n")).where(F.col(doc_id).isNull() | (F.col("__n") > 1)).limit(1).count())
+
+
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.
+
+    Null or wordless text: 0 shingles, linked with nothing. Each row is judged by its
+    own text, also where ids repeat or are null: component_id is the smallest id that is
+    not null among the rows reached, null if there is none. Other columns are ignored,
+    whatever their names. Ties (equal sets, shingles seen equally often) fall by id and hash.
+    """
+    short_batches(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if not odd(docs, "doc_id"):
+        return join_unique(docs.withColumnRenamed("doc_id", "doc")).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    rows, path = stash(docs.select("doc_id", F.monotonically_increasing_id().alias("doc"), "text"), "rows")
+    got = join_unique(rows.select("doc", "text")).join(rows.select("doc", "doc_id"), "doc")
+    least = got.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out, _ = stash(got.join(few(least), "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "joined")
+    discard(docs.sparkSession, path)
     return out
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the one whose id names the component. Documents without words stay."""
-    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # ids are judged apart, so that texts are shuffled only where the ids are too many to broadcast
-    gone = small(ngram_join(docs, doc_id, text).where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
-    again, _ = stash(docs.groupBy(F.col(doc_id).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"), "repeated")
-    again = small(again)
-    same = kept[doc_id].eqNullSafe(F.col("__again"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
+    """One document of each group: the one whose id names the component. Documents without words stay.
+
+    Where ids repeat or are null, one row of each group stays, of the smallest id, null ids last.
+    """
+    short_batches(docs.sparkSession)
+    if not odd(docs, doc_id):
+        # ids are judged apart, so that texts are shuffled only where the ids are too many to broadcast
+        got = join_unique(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")))
+        gone = few(got.where("n > 0 and doc != component").select(F.col("doc").alias("__gone")))
+        return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    rows, _ = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    got = join_unique(rows.select(F.col("__row").alias("doc"), F.col(text).alias("text"))).where("n > 0").join(rows.select(F.col("__row").alias("doc"), F.col(doc_id).alias("__id")), "doc")
+    kept = got.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "doc")).alias("k")).select(F.col("k.doc").alias("__kept"))
+    gone = few(got.join(kept, F.col("doc") == F.col("__kept"), "left_anti").select(F.col("doc").alias("__gone")))
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,11 +73,22 @@ def test_repeated_rows_and_nulls(spark):
     assert ngram_join(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_repeated_id_with_other_texts(spark):
+    """Each row is judged by its own text; sets that only null ids hold are compared, too."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "", 1), (7, a + " x", "", 1), (7, b, "", 1), (9, b + " y", "", 1), (None, b + " z", "", 1), (None, "c d", "", 1), (None, "c d", "", 1)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(1, 56, 1), (7, 57, 1), (7, 56, 7), (9, 57, 7), (None, 57, 7), (None, 1, None), (None, 1, None)], key=str)
+    kept = keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (7, b), (None, "c d")], key=str)
+
+
 def test_long_lists_in_blocks(spark, monkeypatch):
     import quern.llm.ngram_join as m
 
     monkeypatch.setattr(m, "BLOCK", 8)
     monkeypatch.setattr(m, "FEW", 2)
+    monkeypatch.setattr(m, "GO", 40)
     monkeypatch.setattr(m, "BLOCK_BYTES", 6000)
     rows = corpus(5)
     assert {tuple(x) for x in ngram_join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
