@@ -142,11 +142,11 @@ class Model:
     weights: np.ndarray  # features and one row of zeros x languages: log probabilities
     scripts: np.ndarray  # scripts x languages: is a candidate
 
-    def scores(self, w: Words) -> np.ndarray:
-        """Score by word and language: 0 for the best, down to -CLIP; all 0 for words that say nothing."""
-        out = np.zeros((len(w.letters), len(self.languages)), np.float32)
+    def scores(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Score by word and language: 0 for the best, down to -CLIP; all 0 for words that say nothing. And which words have a candidate."""
+        out, has = np.zeros((len(w.letters), len(self.languages)), np.float32), np.zeros(len(w.letters), bool)
         if not len(w.lettered) or not self.languages:
-            return out
+            return out, has
         by_place = self.weights[w.grams[0]]
         for f in w.grams[1:]:
             by_place += self.weights[f]
@@ -159,7 +159,8 @@ class Model:
         best = total.max(axis=1)
         known = np.isfinite(best)
         out[w.lettered[known]] = np.maximum(total[known] - best[known, None], -CLIP)
-        return out
+        has[w.lettered[known]] = True
+        return out, has
 
 
 def train(docs: DataFrame, text: str, lang: str, learn: Column, key: Column, sample: int = SAMPLE) -> Model:
@@ -245,21 +246,26 @@ def paths(scores: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def judge(texts: list[str | None], model: Model) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-    """(language, score, spans) per text; spans are (language, first word, words)."""
-    scores, letters = [], []
+    """(language, score, spans) per text; spans are (language, first word, words).
+
+    Letters of words without a candidate count in the whole, but for no language.
+    """
+    scores, letters, counted = [], [], []
     for _, lot in in_goes(texts):
         w = words_of(lot)
         cut = np.cumsum(w.per_text)[:-1]
+        got, has = model.scores(w)
         letters += np.split(w.letters, cut)
-        scores += np.split(model.scores(w), cut)
+        counted += np.split(w.letters * has, cut)
+        scores += np.split(got, cut)
     best = paths(scores) if model.languages else [np.empty(0, np.int64)] * len(texts)
     out = []
-    for n, p in zip(letters, best, strict=True):
+    for n, c, p in zip(letters, counted, best, strict=True):
         total = int(n.sum())
         if not total or not len(p):
             out.append(("und", 0.0, []))
             continue
-        share = np.bincount(p, n, minlength=len(model.languages))
+        share = np.bincount(p, c, minlength=len(model.languages))
         k = int(share.argmax())
         cut = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1, [len(p)]])
         out.append((model.languages[k], float(share[k] / total), [(model.languages[p[a]], int(a), int(b - a)) for a, b in zip(cut[:-1], cut[1:], strict=True)]))
@@ -269,7 +275,11 @@ def judge(texts: list[str | None], model: Model) -> list[tuple[str, float, list[
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, spans) per row: the language of most letters, their share, and all spans.
 
-    Null text, or none with a letter: `und`, score 0, no spans.
+    Null text, or none with a letter: `und`, score 0, no spans. Letters of a script that no
+    language has count for none, so a text of such letters alone has score 0, under the
+    first language. Languages that tie fall by name. Each row is judged by its text alone:
+    repeated rows give equal rows, ids may repeat or be null, and other columns are
+    ignored, whatever their names. An empty table gives an empty one.
     """
     table = docs.sparkSession.sparkContext.broadcast(model)
 
