@@ -2,40 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .text import blank_words, let, ngrams
 
 lit = F.lit
 
 
-def clean_input(rows: DataFrame, text: str = "text", longest: int = 4000) -> DataFrame:
-    """Adds clean and flagged: normalised, decoded, without invisible and control characters, cut; flagged where it gives orders to a model."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import html
-        import re
-        import unicodedata
-
-        hidden = re.compile("[\u200b\u200c\u200d\u2060\ufeff]")
-        control = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
-        orders = re.compile(r"(?i)ignore (all|any|the)? ?(previous|above) instructions|system prompt|you are now|disregard (all|the) ")
-        for p in it:
-            c = p[text].map(lambda t: None if t is None else control.sub("", hidden.sub("", html.unescape(unicodedata.normalize("NFKC", t))))[:longest])
-            yield p.assign(clean=c, flagged=c.map(lambda t: bool(t and orders.search(t))))
-
-    return rows.mapInPandas(run, _extended(rows, {"clean": StringType(), "flagged": BooleanType()}))
-
-
-def _extended(rows: DataFrame, more: dict) -> StructType:
-    return StructType([*rows.schema.fields, *[StructField(k, t) for k, t in more.items()]])
-
-
 def json_in(text: Column) -> Column:
     """The first outermost JSON object in a text, between its first and last brace; null when it does not parse."""
     found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
@@ -81,17 +55,37 @@ def phrase_repetitions(text: Column, shortest: int = 4, longest: int = 8) -> Col
 
 
 # Domain parts by extraction tier.
-AUTHORITATIVE = [".gov", ".edu", "who.int", "europa.eu"]
-REPUTABLE = ["org", "noaa.gov", "nasa.gov", "nih.gov", "reuters.com", "apnews.com", "bbc.com", "bbc.co.uk", "nytimes.com", "theguardian.com", "nature.com", "sciencemag.org", "scientificamerican.com", "ieee.org", "acm.org", "snopes.com", "factcheck.org", "politifact.com"]
+AUTHORITATIVE = [
+    "go.jp", "gov.uk", "gov", "gouv.fr", "bund.de",
+    "edu", "ac.jp", "ac.uk", "edu.cn",
+    "iso.org", "ietf.org", "w3.org",
+    "who.int", "un.org", "oecd.org",
+    "arxiv.org", "pubmed.gov", "jstage.jst.go.jp", "doi.org",
+]
+REPUTABLE = [
+    "org", "noaa.gov", "nasa.gov", "nih.gov",
+    "reuters.com", "apnews.com", "bbc.com", "bbc.co.uk", "nytimes.com", "theguardian.com", "nature.com", "sciencemag.org", "scientificamerican.com",
+    "ieee.org", "acm.org",
+    "snopes.com", "factcheck.org", "politifact.com",
+]
+
+
+def holds(host: Column, parts: list[str]) -> Column:
+    """Whether any of the parts stands anywhere in the host."""
+    return host.rlike("|".join(p.replace(".", r"\.") for p in parts))
+
+
+def primary_source(url: Column) -> Column:
+    """Whether a URL's host is an authoritative one."""
+    return F.coalesce(holds(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), AUTHORITATIVE), lit(False))
 
 
 def extraction_tier(host: Column, scope: str) -> Column:
     """1 authoritative, 2 reputable, 3 general, 0 out of scope; parts match anywhere in the host."""
     low = F.lower(host)
-    holds = lambda parts: sum((low.contains(p).cast("int") for p in parts[1:]), low.contains(parts[0]).cast("int")) > 0
-    out = F.when(holds(AUTHORITATIVE), 1)
+    out = F.when(holds(low, AUTHORITATIVE), 1)
     if scope in ("reputable", "all"):
-        out = out.when(holds(REPUTABLE), 2)
+        out = out.when(holds(low, REPUTABLE), 2)
     return out.otherwise(3 if scope == "all" else 0)
 
 
@@ -101,9 +95,18 @@ def line_diff(old: Column, new: Column) -> Column:
     return F.struct(F.size(F.array_except(b, a)).alias("added"), F.size(F.array_except(a, b)).alias("removed"), (F.size(blank_words(F.coalesce(new, lit("")))) - F.size(blank_words(F.coalesce(old, lit(""))))).alias("word_delta"))
 
 
+# The shapes of dates.
+DATES = [
+    r"\d{4}[-/]\d{1,2}[-/]\d{1,2}",
+    r"\d{1,2}[-/]\d{1,2}[-/]\d{4}",
+    r"\d{4}年\d{1,2}月\d{1,2}日",
+    r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}",
+]
+
+
 def dates_in(text: Column) -> Column:
-    """Distinct ISO dates, slashed dates and years with a month's name, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, lit(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b"), lit(0))))
+    """Distinct dates of all shapes, sorted; shapes are sought one by one."""
+    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, lit("(?i)" + p), lit(0)) for p in DATES])))
 
 
 def entity_kind(text: Column) -> Column:

@@ -57,7 +57,7 @@ def ngram_repetition(words: Column, n: int = 3) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts between sentence ends, trimmed, not empty."""
-    return F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"[ \t\n\r]+", " "))), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"[.!?。！？]+"), lambda s: F.trim(F.regexp_replace(s, r"[ \t\n\r]+", " "))), lambda s: s != "")
 
 
 def sentence_lengths(text: Column) -> Column:

@@ -171,3 +171,15 @@ def bfs(start: DataFrame, edges: DataFrame, depth: int = 2, most: int = 50) -> D
         front = settle(nxt.orderBy(F.desc("p"), "id").limit(most).select("id", lit(k).alias("depth")), "frontier")
         seen = seen.union(front)
     return seen
+
+
+def similar_queries(asked: DataFrame, past: DataFrame, newest: int = 10, least: float = 0.3, top: int = 5, harvest: float = 0.2) -> DataFrame:
+    """(query_id, conv_id, overlap) of the newest fruitful past(conv_id, w, harvest) whose words overlap asked(query_id, w) by over `least`.
+
+    The newest few are one small table, which meets the queries by broadcast.
+    """
+    few = past.where((F.col("harvest") > harvest) & (F.size("w") > 0)).orderBy(F.desc("conv_id")).limit(newest).select("conv_id", F.col("w").alias("pw"))
+    d = asked.where(F.size("w") > 0).join(F.broadcast(few), F.col("query_id") != F.col("conv_id"))
+    d = d.select("query_id", "conv_id", F.round(F.size(F.array_intersect("w", "pw")) / F.least(F.size("w"), F.size("pw")), 9).alias("overlap")).where(F.col("overlap") > least)
+    w = Window.partitionBy("query_id").orderBy(F.desc("conv_id"))
+    return d.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= top).drop("__k")

@@ -39,6 +39,55 @@ def vector_search(vectors: DataFrame, query: list[float], top_k: int = 10, min_s
     return d.orderBy(F.desc("similarity"), "id").limit(top_k)
 
 
+#: Queries that one pass over the vectors answers.
+QUERIES_AT_ONCE = 1024
+
+
+def vector_searches(vectors: DataFrame, queries: DataFrame, top_k: int = 10, min_similarity: float = 0.0, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, similarity): the top_k of vectors(id, embedding) for each row of queries(query_id, query).
+
+    Queries go in blocks of QUERIES_AT_ONCE, each a broadcast of bounded size that meets
+    every vector once; a task keeps its own top_k of each query, so what is shuffled is
+    top_k rows a query and task. Vectors of another length than the query's are no candidates.
+    """
+    spark = vectors.sparkSession
+    d = (vectors if scope is None else vectors.join(scope.select("id"), "id", "left_semi")).select("id", "embedding")
+    n = queries.count()
+    blocks = -(-n // QUERIES_AT_ONCE) or 1
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, similarity double"
+    out = None
+    for k in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), lit(blocks)) == k)
+        rows = own.select("query_id", "query").orderBy("query_id").toArrow().to_pydict()  # a block of queries, bounded
+        by = {}
+        for i, q in zip(rows["query_id"], rows["query"], strict=True):
+            by.setdefault(len(q), []).append((i, np.array(q, float)))
+        table = spark.sparkContext.broadcast({m: ([i for i, _ in qs], np.stack([q / (np.sqrt((q * q).sum()) or 1.0) for _, q in qs])) for m, qs in by.items()})
+
+        def run(it: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
+            best = []
+            for p in it:
+                size = p["embedding"].map(len).to_numpy() if len(p) else np.empty(0, int)
+                for m, (ids, q) in table.value.items():
+                    at = np.flatnonzero(size == m)
+                    if not len(at):
+                        continue
+                    x = np.array(p["embedding"].iloc[at].tolist(), float)
+                    norm = np.sqrt((x * x).sum(axis=1))
+                    s = np.round((x @ q.T) / np.where(norm > 0, norm, 1.0)[:, None], 6)
+                    own = pd.DataFrame({"query_id": np.repeat(np.array(ids), len(at)), "id": np.tile(p["id"].to_numpy()[at], len(ids)), "similarity": s.T.ravel()})
+                    best.append(own[own["similarity"] >= min_similarity].sort_values(["query_id", "similarity", "id"], ascending=[True, False, True]).groupby("query_id").head(top_k))
+                if len(best) > 8:
+                    best = [pd.concat(best).sort_values(["query_id", "similarity", "id"], ascending=[True, False, True]).groupby("query_id").head(top_k)]
+            if best:
+                yield pd.concat(best)
+
+        got = d.mapInPandas(run, kind)
+        out = got if out is None else out.unionByName(got)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return out.withColumn("__k", F.row_number().over(w)).where(col("__k") <= top_k).drop("__k")
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(id, term, tf, len) of docs(id, text)."""
     d = docs.select("id", tx.tokens(col("text")).alias("w"))

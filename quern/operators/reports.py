@@ -192,3 +192,20 @@ def history(events: DataFrame, kind: str | None = None, since: str | None = None
     if since is not None:
         d = d.where(col("ts") >= lit(since).cast("timestamp"))
     return d.orderBy(F.desc("ts"), "event_id").limit(n)
+
+
+def new_targets(targets: DataFrame, queued: DataFrame) -> DataFrame:
+    """targets(input_json, ...) with doi, without those whose DOI a row of queued(input_json) names already."""
+    doi = F.when(F.get_json_object("input_json", "$.target.kind") == "doi", F.lower(F.get_json_object("input_json", "$.target.doi")))
+    t = targets.withColumn("doi", doi).where("doi is not null")
+    return t.join(queued.select(doi.alias("doi")).where("doi is not null").distinct(), "doi", "left_anti")
+
+
+def timeline_coverage(claims: DataFrame, enough: float = 0.9) -> DataFrame:
+    """One row of counts over claims(claim_id, timeline_json): with a timeline that holds events, retracted, corrected; and the share."""
+    t = F.from_json("timeline_json", "events array<struct<event_type: string, timestamp: string>>")["events"]
+    any_of = lambda kind: F.coalesce(F.exists(t, lambda e: e["event_type"] == kind), F.lit(False))
+    has = F.coalesce(F.size(t) > 0, F.lit(False))
+    d = claims.agg(F.count("*").alias("claims"), F.count_if(has).alias("with_timeline"), F.count_if(any_of("retracted")).alias("retracted"), F.count_if(any_of("corrected")).alias("corrected"))
+    share = F.when(F.col("claims") > 0, F.col("with_timeline") / F.col("claims")).otherwise(F.lit(0.0))
+    return d.withColumn("coverage", F.round(share, 9)).withColumn("enough", share >= enough)

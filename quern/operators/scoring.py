@@ -77,8 +77,12 @@ def satisfaction(sources: Column, primary: Column) -> Column:
     return F.least(lit(1.0), F.least(lit(1.0), sources / 3) * 0.7 + F.when(primary, lit(0.3)).otherwise(lit(0.0)))
 
 
-def search_status(score: Column, novelty: Column, pages: Column, sources: Column) -> Column:
-    return F.when(score >= 0.8, "satisfied").when((novelty < 0.1) & (pages > 10), "exhausted").when(sources > 0, "partial").otherwise("running")
+def search_status(score: Column, novelty: Column, pages: Column, sources: Column, before: Column) -> Column:
+    """Status of a search: skipped stays; what meets no condition keeps its status."""
+    return (
+        F.when(before == "skipped", before).when(score >= 0.8, "satisfied").when(sources > 0, "partial")
+        .when((novelty < 0.1) & (pages > 10), "exhausted").otherwise(before)
+    )
 
 
 def freshness_penalty(age_days: Column) -> Column:

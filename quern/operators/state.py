@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 col, lit = F.col, F.lit
 
 
 def ema(events: DataFrame, key: str, order: list[str], value: Column, alpha: float, start: float) -> DataFrame:
-    """(key, ema, n) after folding e = alpha * x + (1 - alpha) * e over each key's events in order.
+    """(key, ema, n) after folding e = alpha * x + (1 - alpha) * e over each key's events in order; order begins with a time.
 
-    Closed form: start * (1-alpha)^n + sum of alpha * (1-alpha)^(n-i) * x_i. The position
-    from the end comes from a running count; values whose weight is below 1e-18 add nothing.
+    The fold of a run of events is a pair, its decay and its sum, and runs join: each
+    key's hours are folded apart, so that a hot key is dealt over its hours, and then the hours.
     """
-    w = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
-    d = events.select(key, value.cast("double").alias("x"), *order).withColumn("back", F.row_number().over(w) - 1)
-    keep = F.pow(lit(1 - alpha), col("back"))
-    return d.groupBy(key).agg(F.round(F.sum(F.when(keep > 1e-18, alpha * keep * col("x")).otherwise(lit(0.0))) + start * F.pow(lit(1 - alpha), F.count("*")), 9).alias("ema"), F.count("*").alias("n"))
+    d = events.select(key, F.date_trunc("hour", col(order[0])).alias("__h"), value.cast("double").alias("x"), *order)
+    d = d.withColumn("back", F.row_number().over(Window.partitionBy(key, "__h").orderBy(*[F.col(o).desc() for o in order])) - 1)
+    weigh = lambda s, back: F.when(back * float(-np.log1p(-alpha)) < 42, s * F.pow(lit(1 - alpha), back)).otherwise(lit(0.0))  # noqa: E731  below 1e-18
+    hours = d.groupBy(key, "__h").agg(F.count("*").alias("n"), F.sum(weigh(alpha * col("x"), col("back"))).alias("s"))
+    after = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(F.desc("__h")).rowsBetween(Window.unboundedPreceding, -1)), lit(0))
+    hours = hours.withColumn("after", after)
+    return hours.groupBy(key).agg(F.round(F.sum(weigh(col("s"), col("after"))) + start * F.pow(lit(1 - alpha), F.sum("n")), 9).alias("ema"), F.sum("n").alias("n"))
 
 
 def consecutive_failures(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
@@ -36,11 +44,56 @@ def streaks(events: DataFrame, key: str, order: list[str], failed: Column) -> Da
 
 
 def breaker(events: DataFrame, key: str, order: list[str], failed: Column, threshold: int = 2) -> DataFrame:
-    """(key, state, failures): open after `threshold` consecutive failures, closed by the next success."""
+    """(key, state, failures): open after `threshold` consecutive failures, closed by the next success; no time passes."""
     n = consecutive_failures(events, key, order, failed)
     return n.select(key, F.when(col("failures") >= threshold, "open").otherwise("closed").alias("state"), "failures")
 
 
+def half_open_breaker(events: DataFrame, key: str, at: str, order: list[str], failed: Column, threshold: int = 2, base: int = 30, most: int = 120) -> DataFrame:
+    """Adds state, failures, total, until to each event: a breaker that time half-opens.
+
+    Closed until `threshold` consecutive failures; open until its cooldown is over, which
+    doubles with every three failures so far, up to `most` minutes; then half-open, when a
+    success closes it and a failure opens it anew. Keys are sorted, and each is folded
+    row by row with a state of four values, so a hot key takes time but no memory.
+    """
+    out = StructType([*events.schema.fields, StructField("state", StringType()), StructField("failures", LongType()), StructField("total", LongType()), StructField("until", TimestampType())])
+    d = events.withColumn("__f", F.coalesce(failed, lit(False))).repartition(col(key)).sortWithinPartitions(key, *order)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state, failures, total, until = object(), "closed", 0, 0, None
+        for p in it:
+            rows = []
+            for k, t, f in zip(p[key], p[at], p["__f"], strict=True):
+                if k != own:
+                    own, state, failures, total, until = k, "closed", 0, 0, None
+                if state == "open" and until is not None and t >= until:
+                    state = "half_open"
+                if f:
+                    failures, total = failures + 1, total + 1
+                    if state == "half_open" or state == "closed" and failures >= threshold:
+                        state, until = "open", t + pd.Timedelta(minutes=min(most, base * 2 ** min(total // 3, 10)))
+                else:
+                    failures = 0
+                    if state == "half_open":
+                        state, until, total = "closed", None, max(0, total - 1)
+                rows.append((state, failures, total, until))
+            q = p.drop(columns="__f")
+            for i, name in enumerate(("state", "failures", "total")):
+                q[name] = [r[i] for r in rows]
+            q["until"] = pd.to_datetime(pd.Series([r[3] for r in rows], index=p.index))
+            yield q
+
+    return d.mapInPandas(run, out)
+
+
+def state_at(folded: DataFrame, key: str, order: list[str], now: Column) -> DataFrame:
+    """(key, state, failures, until) of half_open_breaker() at a time: what is open is half-open once its cooldown is over."""
+    last = folded.groupBy(key).agg(F.max_by(F.struct("state", "failures", "until"), F.struct(*order)).alias("x"))
+    state = F.when((col("x.state") == "open") & (col("x.until") <= now), "half_open").otherwise(col("x.state"))
+    return last.select(key, state.alias("state"), col("x.failures").alias("failures"), col("x.until").alias("until"))
+
+
 def novelty(events: DataFrame, key: str, order: list[str], novel: Column, last: int = 20) -> DataFrame:
     """Adds novelty to each event: the share of novel ones among the last `last`."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - last, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.sources.graph import Graph
@@ -216,6 +216,23 @@ def active_engines(engines: DataFrame, as_of) -> DataFrame:
     return engines.where(ok).select("engine", "status", "weight", "success_rate_1h", "captcha_rate", "median_latency_ms", "daily_usage", "daily_limit")
 
 
+def available_engines(engines: DataFrame, as_of) -> DataFrame:
+    """Engines that are not open and not cooling down, whatever their use today."""
+    return engines.where((col("status") != "open") & (col("cooldown_until").isNull() | (col("cooldown_until") < lit(as_of))))
+
+
+def engines_by_weight(engines: DataFrame, as_of) -> DataFrame:
+    """Active engines with their place by weight."""
+    d = active_engines(engines, as_of)
+    return d.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "engine")))  # a row per engine
+
+
+def engine_health(engines: DataFrame) -> DataFrame:
+    """Health figures with defaults where none is known."""
+    known = {"success_rate_1h": 1.0, "success_rate_24h": 1.0, "captcha_rate": 0.0, "median_latency_ms": 1000.0, "http_error_rate": 0.0}
+    return engines.select("engine", *[F.coalesce(col(k), lit(v)).alias(k) for k, v in known.items()])
+
+
 def domain_cooldowns(domains: DataFrame, as_of) -> DataFrame:
     now = lit(as_of)
     return domains.where((col("cooldown_until") > now) | (col("skip_until") > now)).select("domain", "cooldown_until", "skip_until", "skip_reason", "block_score", "captcha_rate")

@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from . import embedded, ingest, more, relational, rules, scores, texts
+from . import decisions, embedded, ingest, more, relational, rules, scores, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "embedded", "ingest", "more", "relational", "rules", "scores", "texts"]
+__all__ = ["ORACLE", "QUERIES", "decisions", "embedded", "ingest", "more", "relational", "rules", "scores", "texts"]

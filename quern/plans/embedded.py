@@ -28,7 +28,7 @@ on_graph("S10_dashboard_fragments", lambda g: rp.dashboard_fragments(g, 2), LOCA
 on_graph("S11_dashboard_edges", lambda g: rp.dashboard_edges(g, 2), """
 q_pages AS (SELECT DISTINCT f.page_id FROM g_edges e JOIN g_claims c ON c.id = e.target_id AND e.target_type = 'claim' AND c.task_id = 2 JOIN g_fragments f ON f.id = e.source_id)
 SELECT e.id AS edge_id, e.source_type, e.source_id, e.target_type, e.target_id, e.relation FROM g_edges e JOIN g_claims c ON e.target_type = 'claim' AND c.id = e.target_id AND c.task_id = 2
-UNION ALL SELECT id, source_type, source_id, target_type, target_id, relation FROM g_cites WHERE source_id IN (SELECT page_id FROM q_pages) OR target_id IN (SELECT page_id FROM q_pages)""")
+UNION ALL SELECT id, source_type, source_id, target_type, target_id, relation FROM (SELECT * FROM g_cites SEMI JOIN q_pages ON source_id = page_id UNION SELECT * FROM g_cites SEMI JOIN q_pages ON target_id = page_id)""")
 on_graph("S12_dashboard_citations", lambda g: g.cites.join(g.task_pages.where("task_id = 2").select(F.col("page_id").alias("source_id")), "source_id", "left_semi").select("source_id", "target_id").distinct(), "SELECT DISTINCT source_id, target_id FROM g_cites WHERE source_id IN (SELECT page_id FROM g_task_pages WHERE task_id = 2)")
 on_graph("S13_dashboard_contradictions", rp.dashboard_contradictions, SUMMARY + "SELECT task_id, claim_id, support_count, refute_count, round(refute_count::DOUBLE / (support_count + refute_count + 1), 3) AS controversy FROM q_summary WHERE refute_count > 0")
 on_graph("S14_dashboard_timeline", lambda g: v.evidence_with_year(g).where("task_id = 1 and year is not null").groupBy("year").agg(F.countDistinct("fragment_id").alias("fragments"), F.count("*").alias("edges")), LOCATED + "SELECT year, count(DISTINCT fragment_id) AS fragments, count(*) AS edges FROM q_ev WHERE task_id = 1 AND year IS NOT NULL GROUP BY 1")
@@ -78,10 +78,12 @@ def s26(spark, sf_dir):
     return rp.eta(jobs(spark, sf_dir), 400, 30)
 
 
-@query("S27_duplicate_targets", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') NOT IN (SELECT json_extract_string(props, '$.k') FROM events WHERE event_type = 'purchase')")
+@query("S27_duplicate_targets", "WITH t AS (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN '{\"target\": {\"kind\": \"url\"}}' ELSE '{\"target\": {\"kind\": \"doi\", \"doi\": \"10.1/' || user_id % 97 || '-' || (event_id // 7) % 5 || '\"}}' END AS input_json FROM events), d AS (SELECT *, CASE WHEN json_extract_string(input_json, '$.target.kind') = 'doi' THEN lower(json_extract_string(input_json, '$.target.doi')) END AS doi FROM t) SELECT event_id, doi FROM d WHERE event_type <> 'purchase' AND doi IS NOT NULL AND doi NOT IN (SELECT doi FROM d WHERE event_type = 'purchase' AND doi IS NOT NULL)")
 def s27(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
-    return e.join(e.where("event_type = 'purchase'").select("k"), "k", "left_anti").select("event_id")
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    doi = F.concat(F.lit('{"target": {"kind": "doi", "doi": "10.1/'), (F.col("user_id") % 97).cast("string"), F.lit("-"), (F.floor(i / 7) % 5).cast("string"), F.lit('"}}'))
+    e = e.select("event_id", "event_type", F.when(i % 4 == 0, '{"target": {"kind": "url"}}').otherwise(doi).alias("input_json"))
+    return rp.new_targets(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'")).select("event_id", "doi")
 
 
 on_graph("S29_claim_origin_domains", lambda g: v.located(g, g.origin).select("claim_id", "domain").distinct(), LOCATED + "SELECT DISTINCT claim_id, domain FROM q_located WHERE relation = 'origin'")

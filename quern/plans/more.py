@@ -157,17 +157,15 @@ def x23(spark, sf_dir):
     return st.ema(i_events(spark, sf_dir), "event_type", ["ts", "event_id"], col("value"), 0.01, 0.5).select("event_type", F.round("ema", 5).alias("ema"))
 
 
-@query("X1_similar_queries", "WITH u AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM conversations WHERE role = 'user' AND turn = 0), q AS (SELECT w FROM u WHERE conv_id = 0), s AS (SELECT u.conv_id, len(list_intersect(u.w, q.w))::DOUBLE / least(len(u.w), len(q.w)) AS overlap FROM u, q WHERE u.conv_id <> 0 AND len(u.w) > 0) SELECT conv_id, overlap FROM s WHERE overlap > 0.1::DOUBLE ORDER BY overlap DESC, conv_id LIMIT 5")
+HARVEST = "(conv_id * 37 % 100)::DOUBLE / 100"
+
+
+@query("X1_similar_queries", "WITH u AS (SELECT conv_id, list_distinct(regexp_extract_all(lower('drug effect on ' || text), '[\\p{L}\\p{N}_]+')) AS w, " + HARVEST + " AS harvest FROM conversations WHERE role = 'user' AND turn = 0), r AS (SELECT * FROM u WHERE harvest > 0.2::DOUBLE ORDER BY conv_id DESC LIMIT 10), s AS (SELECT q.conv_id AS query_id, r.conv_id, round(len(list_intersect(q.w, r.w))::DOUBLE / least(len(q.w), len(r.w)), 9) AS overlap FROM u q, r WHERE q.conv_id % 100 = 0 AND q.conv_id <> r.conv_id AND len(q.w) > 0 AND len(r.w) > 0) SELECT query_id, conv_id, overlap FROM s WHERE overlap > 0.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY conv_id DESC) <= 5")
 def x1(spark, sf_dir):
     from quern.functions import text as tx
 
-    u = table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0").select("conv_id", F.array_distinct(tx.tokens(col("text"))).alias("w"))
-    mine = u.where("conv_id = 0").select("w").first()
-    if mine is None:
-        return u.select("conv_id", F.lit(0.0).alias("overlap")).limit(0)
-    q = F.array(*[F.lit(x) for x in mine.w])  # one query's words
-    d = u.where("conv_id <> 0").where(F.size("w") > 0).select("conv_id", (F.size(F.array_intersect("w", q)) / F.least(F.size("w"), F.size(q))).alias("overlap"))
-    return d.where("overlap > 0.1D").orderBy(F.desc("overlap"), "conv_id").limit(5)
+    u = table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0").select("conv_id", F.array_distinct(tx.tokens(F.concat(F.lit("drug effect on "), "text"))).alias("w"), (col("conv_id") * 37 % 100 / 100).alias("harvest"))
+    return ev.similar_queries(u.where("conv_id % 100 = 0").select(col("conv_id").alias("query_id"), "w"), u)
 
 
 on_graph("G24_entity_relations", lambda g: g.cites.select(F.col("source_id").alias("entity"), F.col("target_id").alias("neighbour")), "SELECT source_id AS entity, target_id AS neighbour FROM g_cites WHERE source_id % 100 = 1")
@@ -176,4 +174,4 @@ q_1 AS (SELECT target_id AS id FROM g_cites WHERE source_id = 1 AND target_id <>
 q_2 AS (SELECT target_id AS id FROM g_cites WHERE source_id IN (SELECT id FROM q_1) AND target_id <> 1 AND target_id NOT IN (SELECT id FROM q_1) GROUP BY 1 ORDER BY max(target_id % 10) DESC, 1 LIMIT 50)
 SELECT 1::BIGINT AS id, 0 AS depth UNION ALL SELECT id, 1 FROM q_1 UNION ALL SELECT id, 2 FROM q_2""")
 on_graph("G2_simple_edges", lambda g: gr.simple_edges(g.edges, "id").select("source_type", "source_id", "target_type", "target_id", "relation"), "SELECT source_type, source_id, target_type, target_id, arg_max(relation, id) AS relation FROM g_edges GROUP BY 1, 2, 3, 4")
-on_graph("G21_claim_assessment", lambda g: gr.claim_confidence(g).join(gr.evidence_by_relation(g), "claim_id", "left").select("claim_id", "confidence", F.coalesce(F.size("supports"), F.lit(0)).cast("long").alias("n_supports")).drop("confidence"), "SELECT c.id AS claim_id, count(*) FILTER (relation = 'supports') AS n_supports FROM g_claims c LEFT JOIN g_nli n ON n.target_id = c.id GROUP BY 1")
+on_graph("G21_claim_assessment", lambda g: gr.claim_confidence(g).join(gr.evidence_by_relation(g), "claim_id", "left").select("claim_id", "confidence", F.coalesce(F.size("supports"), F.lit(0)).cast("long").alias("n_supports"), F.coalesce(F.size("refutes"), F.lit(0)).cast("long").alias("n_refutes")), "SELECT c.id AS claim_id, round((1 + coalesce(sum(nli_edge_confidence::DECIMAL(18,9)) FILTER (relation = 'supports'), 0)::DOUBLE) / (2 + coalesce(sum(nli_edge_confidence::DECIMAL(18,9)) FILTER (relation IN ('supports', 'refutes')), 0)::DOUBLE), 3) AS confidence, count(*) FILTER (relation = 'supports') AS n_supports, count(*) FILTER (relation = 'refutes') AS n_refutes FROM g_claims c LEFT JOIN g_nli n ON n.target_id = c.id GROUP BY 1")

@@ -25,23 +25,27 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(col("vec_id").alias("id"), "embedding", "label")
 
 
-def query_vector(spark, sf_dir):
-    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+def asked(spark, sf_dir):
+    """The vectors that are searched for: every row whose id is divisible by 100."""
+    return vectors(spark, sf_dir).where("id % 100 = 0").select(col("id").alias("query_id"), col("embedding").alias("query"))
 
 
 def _dot(a, b):
     return f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda z: z[1] * z[2])), lambda s, x: s + x)"
 
 
-@query("V1_vector_search", f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id AS id, round({_dot('embedding', 'q')} / (sqrt({_dot('embedding', 'embedding')}) * sqrt({_dot('q', 'q')})), 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, id LIMIT 10")
+SEARCH = f"WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS id, round({_dot('embedding', 'q')} / (sqrt({_dot('embedding', 'embedding')}) * sqrt({_dot('q', 'q')})), 6) AS similarity FROM embeddings, q) SELECT query_id, id, similarity FROM s WHERE similarity >= -1{{scope}} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10"
+
+
+@query("V1_vector_search", SEARCH.format(scope=""))
 def v1(spark, sf_dir):
-    return rk.vector_search(vectors(spark, sf_dir).select("id", "embedding"), query_vector(spark, sf_dir), 10, -1.0)
+    return rk.vector_searches(vectors(spark, sf_dir).select("id", "embedding"), asked(spark, sf_dir), 10, -1.0)
 
 
-@query("V1b_vector_search_in_scope", f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id AS id, round({_dot('embedding', 'q')} / (sqrt({_dot('embedding', 'embedding')}) * sqrt({_dot('q', 'q')})), 6) AS similarity FROM embeddings, q WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_partkey % 5 = 1) ORDER BY similarity DESC, id LIMIT 10")
+@query("V1b_vector_search_in_scope", SEARCH.format(scope=" AND id IN (SELECT p_partkey FROM part WHERE p_partkey % 5 = 1)"))
 def v1b(spark, sf_dir):
     scope = table(spark, sf_dir, "part").where("p_partkey % 5 = 1").select(col("p_partkey").alias("id"))
-    return rk.vector_search(vectors(spark, sf_dir).select("id", "embedding"), query_vector(spark, sf_dir), 10, -1.0, scope)
+    return rk.vector_searches(vectors(spark, sf_dir).select("id", "embedding"), asked(spark, sf_dir), 10, -1.0, scope)
 
 
 BM25_TERMS = "the worthless und de"
@@ -146,11 +150,16 @@ def c8(spark, sf_dir):
     return e.select("event_type", F.round(sc.engine_weight(F.lit(0.9), col("s1"), col("s24"), col("cap"), F.lit(250.0), col("h")), 9).alias("weight"))
 
 
-@query("C9_satisfaction", "SELECT user_id, round(least(1, least(1, n::DOUBLE / 3) * 0.7::DOUBLE + CASE WHEN p > 0 THEN 0.3::DOUBLE ELSE 0 END), 9) AS score, CASE WHEN least(1, least(1, n::DOUBLE / 3) * 0.7::DOUBLE + CASE WHEN p > 0 THEN 0.3::DOUBLE ELSE 0 END) >= 0.8::DOUBLE THEN 'satisfied' WHEN p / (n + 1.0::DOUBLE) < 0.1::DOUBLE AND n > 10 THEN 'exhausted' WHEN n > 0 THEN 'partial' ELSE 'running' END AS status FROM (SELECT user_id, count(DISTINCT event_type) AS n, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1)")
+BEFORE = ["pending", "running", "partial", "skipped"]
+SCORE = "least(1, least(1, s::DOUBLE / 3) * 0.7::DOUBLE + CASE WHEN p > 0 THEN 0.3::DOUBLE ELSE 0 END)"
+
+
+@query("C9_satisfaction", f"WITH d AS (SELECT user_id, count(DISTINCT event_type) - 1 - user_id % 4 AS n, count(*) FILTER (event_type = 'purchase') AS p, count(*) AS pages FROM events GROUP BY 1), e AS (SELECT *, greatest(0, n) AS s, {BEFORE}[user_id % 4 + 1] AS before FROM d) SELECT user_id, round({SCORE}, 9) AS score, CASE WHEN before = 'skipped' THEN before WHEN {SCORE} >= 0.8::DOUBLE THEN 'satisfied' WHEN s > 0 THEN 'partial' WHEN p / (pages + 1.0::DOUBLE) < 0.1::DOUBLE AND pages > 10 THEN 'exhausted' ELSE before END AS status FROM e")
 def c9(spark, sf_dir):
-    d = table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n"), F.count_if(col("event_type") == "purchase").alias("p"))
-    score = sc.satisfaction(col("n"), col("p") > 0)
-    return d.select("user_id", F.round(score, 9).alias("score"), sc.search_status(score, col("p") / (col("n") + 1.0), col("n"), col("n")).alias("status"))
+    d = table(spark, sf_dir, "events").groupBy("user_id").agg((F.countDistinct("event_type") - 1).alias("k"), F.count_if(col("event_type") == "purchase").alias("p"), F.count("*").alias("pages"))
+    d = d.withColumn("s", F.greatest(F.lit(0), col("k") - col("user_id") % 4)).withColumn("before", F.element_at(F.array(*[F.lit(x) for x in BEFORE]), (col("user_id") % 4 + 1).cast("int")))
+    score = sc.satisfaction(col("s"), col("p") > 0)
+    return d.select("user_id", F.round(score, 9).alias("score"), sc.search_status(score, col("p") / (col("pages") + 1.0), col("pages"), col("s"), col("before")).alias("status"))
 
 
 @query("C12_ucb", "WITH a AS (SELECT user_id, count(*) FILTER (event_type <> 'error') AS pulls, (count(*) FILTER (event_type = 'purchase'))::DOUBLE AS reward, CASE user_id % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS boost FROM events GROUP BY 1) SELECT user_id, pulls, round(CASE WHEN pulls = 0 THEN 1e308 ELSE (reward / pulls + sqrt(2::DOUBLE) * sqrt(ln((SELECT sum(pulls) FROM a)) / pulls)) * boost END, 6) AS score FROM a")
@@ -281,10 +290,11 @@ def reports(spark, sf_dir):
 
 
 def index(spark, sf_dir):
-    return spark.range(0, 40).select(F.concat(F.lit("https://x.example/"), col("id").cast("string")).alias("url"))
+    # fifty addresses, ten of which no report uses
+    return spark.range(0, 50).select(F.concat(F.lit("https://x.example/"), F.when(col("id") < 40, col("id")).otherwise(col("id") + 50).cast("string")).alias("url"))
 
 
-REPORTS = f"WITH r AS (SELECT conv_id || '-' || turn AS id, {REPORT} || text AS text FROM conversations), i AS (SELECT 'https://x.example/' || k AS url FROM range(0, 40) t(k)), u AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, 'https?://[^\\s<>)\\]\"'']+')) AS url FROM r) "
+REPORTS = f"WITH r AS (SELECT conv_id || '-' || turn AS id, {REPORT} || text AS text FROM conversations), i AS (SELECT 'https://x.example/' || CASE WHEN k < 40 THEN k ELSE k + 50 END AS url FROM range(0, 50) t(k)), u AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, 'https?://[^\\s<>)\\]\"'']+')) AS url FROM r) "
 
 
 @query("W1_report_urls", REPORTS + "SELECT * FROM u")

@@ -119,7 +119,7 @@ def h4(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(tx.paragraphs(col("text"))).cast("long").alias("paragraphs"))
 
 
-SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '[ \t\n\r]+', ' ', 'g'), ' ')), lambda s: s <> '')"
+SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？]+'), lambda s: trim(regexp_replace(s, '[ \t\n\r]+', ' ', 'g'), ' ')), lambda s: s <> '')"
 
 
 @query("H9_quality_features", rf"""WITH d AS (SELECT doc_id, text, {WORDS} AS w, list_transform({SENT}, lambda s: len(list_filter(regexp_split_to_array(s, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))::BIGINT) AS l FROM documents),

@@ -19,7 +19,7 @@ def plan(df):
 def test_stays_in_the_jvm_without_products(spark, name):
     text = plan(plans.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BatchEvalPython" not in text
-    if name != "F18_clean_input":
+    if name not in ("F18_clean_input", "F19_leaked_parts", "T4_half_open_breaker", "T4b_breaker_states"):
         assert "InPandas" not in text and "InArrow" not in text
     if not re.search(r"^S7_|^R21", name):  # single-row aggregates side by side
         assert "BroadcastNestedLoopJoin" not in text, text

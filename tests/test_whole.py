@@ -1,12 +1,15 @@
 """Registered queries do the whole job, against plain computations."""
 
 import random
+import re
 from collections import deque
 from hashlib import md5
 
 import pytest
 
 from quern import plans
+from quern.functions import security
+from quern.plans import rules
 from quern.sources.graph import bridge
 
 SF = "/root/testdata/sf0.001"
@@ -107,9 +110,11 @@ def test_no_row_is_left_out(spark, tmp_path):
     rows = lambda name, key, value: {r[key]: r[value] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
     assert rows("A20_sitemap", "page_id", "locs") == {4 * k + 2: [urls[k % 4]] for k in range(6)}
     assert rows("H13_page_state", "page_id", "state") == {2: "cookie", 6: "challenge", 10: "cookie", 14: "content", 18: "challenge", 22: "content"}
-    assert rows("F18_clean_input", "conv_id", "flagged") == {0: True, 1: False, 2: False, 3: False}
-    given = ["12/31/2023", "2024-01-01"]
-    assert rows("X29_dates", "conv_id", "dates") == {0: given, 1: given, 2: ["12/31/2023", "1999-12-31", "2024-01-01", "March 3, 2020"], 3: given}
+    planted = {k: rules.PLANTED[k * 7 % len(rules.PLANTED)][0] for k in range(4)}
+    flagged = {k: bool(re.search("(?i)" + "|".join(security.ORDERS), said[k] + " " + planted[k])) for k in range(4)}
+    assert rows("F18_clean_input", "conv_id", "flagged") == flagged and flagged[0]
+    got = rows("X29_dates", "conv_id", "dates")
+    assert {"1999-12-31", "March 3, 2020"} <= set(got[2]) and got[0] == ["2024-01-15"] and set(got[1]) == {"2024/1/5", "1/5/2024"}
 
 
 def test_hash_pairs_of_documents(spark, tmp_path):
