@@ -151,7 +151,7 @@ def test_page_quality(spark):
     words = " ".join(f"Word{i} of the day number{i}." for i in range(60))
     even = "".join(f"<p>It is important to note that we leverage and utilize item{i}.</p>" for i in range(12))
     made = [
-        "", None, "<p>Short.</p>", f"<div class='ad banner'></div><div id=\"ads\"></div><i data-ad-x=1></i><b class="x pr">adsense doubleclick</b><p>{words}</p><p>{words}</p>",
+        "", None, "<p>Short.</p>", f"<div class='ad banner'></div><div id=\"ads\"></div><i data-ad-x=1></i><b class=pr>adsense doubleclick googlesyndication</b><p>{words}</p><p>{words}</p>",
         "<div class=x>" * 600 + "<p>One two.</p><p>Three.</p>", f"<h2>top</h2><h2>b</h2>{even}", f"<p>{'cheap pills online ' * 60}</p><p>best pills near me</p>",
         f"<p>Source: a. According to b. Top 10 roundup. via: c from: d</p><p>{words}</p>", f"<p>You won't believe this shocking and amazing 驚きの thing。次！ {words}</p><p>x</p>",
         f"<nav>{'menu ' * 200}</nav><p>content from x scraped from y original article: z</p><a href='http://a/'>q</a><p>{words}</p>",
