@@ -22,4 +22,5 @@ ORACLE: dict[str, str] = {
     "op3_url_filter": url_lists.OP3_SQL,
     "op4_source_mixing": mixing.OP4_SQL,
     "op5_warc_transactions": warc.OP5_SQL,
+    "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
 }

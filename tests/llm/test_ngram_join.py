@@ -130,3 +130,24 @@ def test_bitmap_bound_keeps_links():
                     assert got
                 dropped += not got
     assert dropped > 40
+
+
+def test_a_group_of_near_copies_takes_few_comparisons():
+    """Members beyond the first few meet the group only where they are outside its largest component."""
+    import numpy as np
+
+    import quern.llm.ngram_join as m
+
+    for n in (2_000, 8_000, 16_000):
+        r = np.random.default_rng(n)
+        group = np.where(np.arange(n) % 1000 == 7, -1 - np.arange(n), r.integers(0, 2, n))  # two groups, a few on their own
+        group[group == 1] = 0
+        met = []
+
+        def hits(k, group=group, met=met):
+            met.append(len(k))
+            return group[k][:, None] == group[None, :]
+
+        label = m.tie(np.arange(n), hits, max(1, m.GO // n))
+        assert sum(met) <= m.SEEDS + n // 1000 + 1
+        assert np.array_equal(label, m.spanning(*[x[x[:, 0] < x[:, 1]].T for x in [np.array([[np.flatnonzero(group == g)[0], i] for i, g in enumerate(group)])]][0], n))
