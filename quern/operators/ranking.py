@@ -178,8 +178,16 @@ def cut_at_knee(ranked: DataFrame, least: int = 3, most: int = 50) -> DataFrame:
     return ranked.join(keep, "query").where(col("rank") <= col("keep")).drop("keep")
 
 
-def knn(vectors: DataFrame, k: int, least: float, blocks: int = 8) -> DataFrame:
-    """(a, b, similarity): each vector's k nearest others at `least` or above, block by block of vectors, in Arrow batches."""
+#: Vectors of a block; a task holds two blocks.
+BLOCK_ROWS = 4096
+
+
+def knn(vectors: DataFrame, k: int, least: float, blocks: int | None = None) -> DataFrame:
+    """(a, b, similarity): each vector's k nearest others at `least` or above, block by block of vectors, in Arrow batches.
+
+    Exact, so all blocks meet; their number grows with the vectors, so that a task's two do not.
+    """
+    blocks = blocks or max(8, -(-vectors.count() // BLOCK_ROWS))
     v = vectors.select("id", F.pmod(F.xxhash64("id"), lit(blocks)).alias("blk"), "embedding")
     d = v.withColumn("other", F.explode(F.sequence(lit(0), lit(blocks - 1)))).select("id", "embedding", col("blk"), "other")
     d = d.select("id", "embedding", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), (col("blk") <= col("other")).alias("left"), (col("blk") == col("other")).alias("same"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iteration import drop, settle
 from .views import exact_sum
 
 col, lit = F.col, F.lit
@@ -36,23 +37,32 @@ def ece(samples: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def platt(samples: DataFrame, steps: int = 100, rate: float = 0.01) -> tuple[float, float]:
-    """(A, B) of p = sigmoid(A * logit + B) by gradient descent; each step is one aggregate over samples(logit, y)."""
+    """(A, B) of p = sigmoid(A * logit + B) by gradient descent; each step is one aggregate over the distinct samples(logit, y)."""
     a = b = 0.0
-    n = samples.count()
+    s, n = distinct_samples(samples)
     for _ in range(steps if n else 0):
-        e = 1 / (1 + F.exp(-(a * col("logit") + b))) - col("y")
-        g = samples.agg(F.sum(e * col("logit")).alias("a"), F.sum(e).alias("b")).first()
+        e = (1 / (1 + F.exp(-(a * col("logit") + b))) - col("y")) * col("n")
+        g = s.agg(F.sum(e * col("logit")).alias("a"), F.sum(e).alias("b")).first()
         a, b = a - rate * g["a"] / n, b - rate * g["b"] / n
+    drop(s)
     return a, b
 
 
+def distinct_samples(samples: DataFrame) -> tuple[DataFrame, int]:
+    """samples(logit, y) counted, settled, so that no step reads the source again; and how many there are."""
+    s = settle(samples.groupBy("logit", "y").agg(F.count("*").alias("n")), "samples")
+    return s, s.agg(F.sum("n")).first()[0] or 0
+
+
 def temperature(samples: DataFrame, steps: int = 50, rate: float = 0.1) -> float:
     """T of p = sigmoid(logit / T), kept within 0.1 and 10."""
-    t, n = 1.0, samples.count()
+    t = 1.0
+    s, n = distinct_samples(samples)
     for _ in range(steps if n else 0):
-        e = 1 / (1 + F.exp(-col("logit") / t)) - col("y")
-        g = samples.agg(F.sum(e * -col("logit") / (t * t)).alias("g")).first()["g"] / n
+        e = (1 / (1 + F.exp(-col("logit") / t)) - col("y")) * col("n")
+        g = s.agg(F.sum(e * -col("logit") / (t * t)).alias("g")).first()["g"] / n
         t = min(10.0, max(0.1, t - rate * g))
+    drop(s)
     return t
 
 

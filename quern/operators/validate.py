@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
@@ -36,13 +36,21 @@ def unsupported_numbers(reports: DataFrame, evidence: DataFrame) -> DataFrame:
 def unknown_claims(reports: DataFrame, claims: DataFrame, share: float = 0.6, shortest: int = 30) -> DataFrame:
     """Sentences of over `shortest` characters, none of whose matches in claims(text) shares more than that of their words.
 
-    Candidates meet on words, not in all pairs.
+    A claim that shares so many words holds one of a sentence's rarest, so sentences meet
+    claims on those alone; a word that stands in most claims seldom counts.
     """
     s = reports.select("id", F.posexplode(tx.sentences(col("text"))).alias("pos", "sentence")).where(F.length("sentence") > shortest)
     s = s.withColumn("w", F.array_distinct(tx.tokens(col("sentence")))).where(F.size("w") > 3)
-    words = s.select("id", "pos", F.size("w").alias("n"), F.explode("w").alias("word"))
-    c = claims.select(F.xxhash64("text").alias("c"), F.explode(F.array_distinct(tx.tokens(col("text")))).alias("word")).distinct()
-    hit = words.join(c, "word").groupBy("id", "pos", "n", "c").agg(F.count("*").alias("both")).where(col("both") > share * col("n")).select("id", "pos").distinct()
+    c = claims.select(F.array_sort(F.array_distinct(tx.tokens(col("text")))).alias("cw")).distinct().withColumn("c", F.xxhash64("cw"))
+    df = c.select(F.explode("cw").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    words = s.select("id", "pos", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word")
+    # words that no claim holds come first in the order of frequency, and meet nothing
+    own = Window.partitionBy("id", "pos")
+    words = words.withColumn("k", F.row_number().over(own.orderBy("df", "word")) + col("n") - F.count("*").over(own))
+    words = words.where(col("k") <= col("n") - F.floor(share * col("n")))
+    near = words.join(c.select("c", F.explode("cw").alias("word")), "word").select("id", "pos", "c").distinct()
+    near = near.join(s.select("id", "pos", "w"), ["id", "pos"]).join(c, "c")
+    hit = near.where(F.size(F.array_intersect("w", "cw")) > share * F.size("w")).select("id", "pos").distinct()
     return s.join(hit, ["id", "pos"], "left_anti").select("id", "sentence")
 
 
