@@ -124,7 +124,7 @@ def sitemap_entries(xml: Column) -> Column:
 
 
 def robots_rules(lines: DataFrame, agent: str) -> DataFrame:
-    """(domain, directive, value) of robots lines(domain, pos, value) that apply to an agent or to all; sitemaps always do."""
+    """(domain, directive, value, pos) of robots lines(domain, pos, value) that apply to an agent or to all; sitemaps always do."""
     from pyspark.sql import Window
 
     d = lines.withColumn("v", F.trim(F.regexp_replace("value", r"#.*$", ""))).where(col("v").contains(":"))
@@ -132,7 +132,7 @@ def robots_rules(lines: DataFrame, agent: str) -> DataFrame:
     mine = F.when(col("directive") == "user-agent", F.lower("value").isin("*", agent.lower()))
     w = Window.partitionBy("domain").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("ours", F.last(mine, ignorenulls=True).over(w))
-    return d.where("directive = 'sitemap' or (ours and directive in ('disallow', 'allow', 'crawl-delay'))").where("value != ''").select("domain", "directive", "value")
+    return d.where("directive = 'sitemap' or (ours and directive in ('disallow', 'allow', 'crawl-delay'))").where("value != ''").select("domain", "directive", "value", "pos")
 
 
 def path_matches(path: Column, pattern: Column) -> Column:
