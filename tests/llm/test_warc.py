@@ -35,7 +35,8 @@ def test_round_trip(spark, tmp_path, monkeypatch):
     assert sorted(map(lambda r: tuple(r)[:5], m.digest_columns(got).collect()), key=str) == want(ROWS)
     bodies = {(int(r.metadata.fields["pageId"]) if "pageId" in r.metadata.fields else None): bytes(r.response.payload) for r in got.where("response.record_type = 'response'").collect()}
     text = {i: (h or "").encode() for i, _, h, _ in ROWS}
-    assert all(b == text[i] for i, b in bodies.items()) and records.count() == 3 * len(ROWS)
+    assert all(b == text[i] for i, b in bodies.items()) and records.where("record_type != 'warcinfo'").count() == 3 * len(ROWS)
+    assert records.where("record_type = 'warcinfo'").count() == records.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/a").count()
     assert got.where("request is null or response is null or metadata is null").count() == 0
     m.remove(spark, f"{tmp_path}/a")
     assert not (tmp_path / "a").exists()
@@ -43,7 +44,7 @@ def test_round_trip(spark, tmp_path, monkeypatch):
 
 def test_chained_and_lonely_records(spark):
     rows = [("a", None, "request"), ("b", "a", "response"), ("c", "b", "metadata"), ("d", None, "response"), ("e", "gone", "metadata")]
-    frame = spark.createDataFrame([(i, c, k, None, None, None, {}, None) for i, c, k in rows], m.RECORD)
+    frame = spark.createDataFrame([(i, c, k, None, None, None, {}, None, None) for i, c, k in rows], m.RECORD)
     got = {r.capture_id: (r.request and r.request.record_id, r.response and r.response.record_id, r.metadata and r.metadata.record_id) for r in m.assemble(frame).collect()}
     assert got == {"a": ("a", "b", "c"), "d": (None, "d", None), "gone": (None, None, "e")}
 
@@ -63,3 +64,16 @@ def test_least(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert m.digest_columns(m.assemble(run(spark, [], f"{tmp_path}/c"))).collect() == []
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    m.write(spark.createDataFrame([(1, "http://a/1", "same", 0), (2, "http://a/2", "same", 0), (3, "http://a/3", "other", 0), (2, "http://a/2", "same", 0)], SCHEMA), f"{tmp_path}/c")
+    import gzip
+
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "c").rglob("*.gz"))
+    heads = [h for h, _ in m.parse(data)]
+    responses = {h["warc-target-uri"]: h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    (revisit,) = [h for h in heads if h["warc-type"] == "revisit"]
+    assert revisit["warc-refers-to"] == responses["http://a/2"] and revisit["warc-refers-to-target-uri"] == "http://a/2" and revisit["warc-refers-to-date"] == m.DATE
+    got = m.digest_columns(m.assemble(m.read(spark, f"{tmp_path}/c"))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.record_type == "revisit") == [(1, "revisit", 2)] and len(got) == 4
