@@ -51,8 +51,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def ngram_repetition(words: Column, n: int = 3) -> Column:
-    """Share of n-word runs that repeat an earlier one."""
-    return let(ngrams(words, n), lambda g: F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).otherwise(F.lit(0.0)))
+    """Share of n-word runs that repeat an earlier one; runs are told apart by 64-bit hashes."""
+
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(runs(words), lambda g: F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).otherwise(F.lit(0.0)))
 
 
 def sentences(text: Column) -> Column:

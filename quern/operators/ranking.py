@@ -106,7 +106,8 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, epsilon:
     terms = docs.sparkSession.range(1).select(F.explode(tx.tokens(lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
     weight = idf.join(F.broadcast(terms), "term").crossJoin(F.broadcast(mean)).select("term", "avg", (col("times") * F.when(col("idf") < 0, epsilon * col("mean")).otherwise(col("idf"))).alias("w"))
     # a query has few terms
-    p = docs.select("id", tx.tokens(col("text")).alias("t")).select("id", F.size("t").alias("len"), "t").select("id", "len", F.explode("t").alias("term")).join(F.broadcast(weight), "term")
+    asked = tx.tokens(lit(query))
+    p = docs.select("id", tx.tokens(col("text")).alias("t")).select("id", F.size("t").alias("len"), F.explode(F.filter("t", lambda w: F.array_contains(asked, w))).alias("term")).join(F.broadcast(weight), "term")
     tf = p.groupBy("id", "len", "term", "avg", "w").agg(F.count("*").alias("tf"))
     s = col("w") * col("tf") * (k1 + 1) / (col("tf") + k1 * (1 - b + b * col("len") / col("avg")))
     return tf.groupBy("id").agg(F.sum(s).alias("score"))
