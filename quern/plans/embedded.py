@@ -131,11 +131,12 @@ q_e AS (SELECT e.target_id AS claim_id, e.relation, CASE WHEN nli_edge_confidenc
 q_x AS (SELECT claim_id, 1 + sum(CASE WHEN relation = 'supports' THEN c ELSE 0 END::DECIMAL(18,9))::DOUBLE AS a, 1 + sum(CASE WHEN relation = 'refutes' THEN c ELSE 0 END::DECIMAL(18,9))::DOUBLE AS b, count(*) FILTER (relation = 'supports') AS s, count(*) FILTER (relation = 'refutes') AS r, count(DISTINCT page_id) AS sources, min(year) AS oldest, max(year) AS newest FROM q_e GROUP BY 1)
 SELECT c.id AS claim_id, round(coalesce(a / (a + b), 0.5::DOUBLE), 3) AS confidence, round(coalesce(sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), sqrt(1::DOUBLE / 12)), 3) AS uncertainty, coalesce(s, 0) AS supporting, coalesce(r, 0) AS refuting, coalesce(sources, 0) AS independent_sources, oldest, newest FROM g_claims c LEFT JOIN q_x ON q_x.claim_id = c.id""")
 on_graph("G7_contradicted_claims", gr.contradicted_claims, "SELECT target_id AS claim_id, count(*) AS refuting, max(nli_edge_confidence) AS strongest FROM g_nli WHERE relation = 'refutes' GROUP BY 1")
-on_graph("G9_citation_loops", lambda g: gr.citation_loops(g.cites, 5), """
-q_c AS (SELECT source_id AS s, target_id AS t FROM g_cites),
-q_2 AS (SELECT [a.s, a.t] AS p FROM q_c a JOIN q_c b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t),
-q_3 AS (SELECT [a.s, a.t, b.t] AS p FROM q_c a JOIN q_c b ON b.s = a.t JOIN q_c c ON c.s = b.t AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t)
-SELECT p AS path, len(p)::INT AS length, CASE WHEN len(p) <= 2 THEN 'critical' ELSE 'high' END AS severity FROM (SELECT [s] AS p FROM q_c WHERE s = t UNION ALL SELECT p FROM q_2 UNION ALL SELECT p FROM q_3)""")
+# loops from their smallest page on: open paths of up to five pages, closed by an edge back
+PATHS = """
+q_c AS (SELECT DISTINCT source_id AS s, target_id AS t FROM g_cites),
+q_p2 AS (SELECT [s, t] AS p, s AS b, t AS e FROM q_c WHERE t > s),
+""" + "".join(f"q_p{k} AS (SELECT list_append(p, c.t) AS p, b, c.t AS e FROM q_p{k - 1} JOIN q_c c ON c.s = e WHERE c.t > b AND NOT list_contains(p, c.t)),\n" for k in (3, 4, 5)) + "q_loops AS (SELECT [s] AS p FROM q_c WHERE s = t" + "".join(f" UNION ALL SELECT p FROM q_p{k} JOIN q_c c ON c.s = e AND c.t = b" for k in (2, 3, 4, 5)) + ")"
+on_graph("G9_citation_loops", lambda g: gr.citation_loops(g.cites, 5), PATHS + "\nSELECT p AS path, len(p)::INT AS length, CASE WHEN len(p) <= 2 THEN 'critical' WHEN len(p) = 3 THEN 'high' ELSE 'medium' END AS severity FROM q_loops")
 on_graph("G10_round_trips", lambda g: gr.round_trips(g.cites), "SELECT a.source_id AS page_a, a.target_id AS page_b FROM g_cites a JOIN g_cites b ON a.source_id = b.target_id AND a.target_id = b.source_id WHERE a.source_id <= a.target_id")
 SELF = "SELECT source_id AS page_id, source_id AS target_id, 'self_loop' AS kind, 'critical' AS severity FROM g_cites WHERE source_id = target_id UNION ALL SELECT c.source_id, c.target_id, 'same_domain', 'medium' FROM g_cites c JOIN g_pages a ON a.id = c.source_id JOIN g_pages b ON b.id = c.target_id WHERE source_id <> target_id AND lower(a.domain) = lower(b.domain)"
 on_graph("G11_self_references", gr.self_references, SELF)
@@ -144,13 +145,10 @@ on_graph("G15_graph_stats", gr.graph_stats, "SELECT relation, source_type, targe
 on_graph("G18_hub_pages", lambda g: gr.hub_pages(g, 10), "SELECT target_id AS page_id, count(*) AS in_degree FROM g_cites GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 on_graph("G16_pagerank", lambda g: gr.pagerank(g.pages.select("id"), g.cites.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))))
 on_graph("G17_betweenness", lambda g: gr.betweenness(g.cites.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))))
-LOOPS = """
-q_c AS (SELECT DISTINCT source_id AS s, target_id AS t FROM g_cites),
-q_loops AS (SELECT [s] AS p FROM q_c WHERE s = t UNION ALL SELECT [a.s, a.t] FROM q_c a JOIN q_c b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t
-  UNION ALL SELECT [a.s, a.t, b.t] FROM q_c a JOIN q_c b ON b.s = a.t JOIN q_c c ON c.s = b.t AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t),
+LOOPS = PATHS + """,
 q_trips AS (SELECT a.s AS a, a.t AS b FROM q_c a JOIN q_c b ON a.s = b.t AND a.t = b.s WHERE a.s <= a.t),
 q_same AS (SELECT c.s, c.t FROM q_c c JOIN g_pages a ON a.id = c.s JOIN g_pages b ON b.id = c.t WHERE c.s <> c.t AND lower(a.domain) = lower(b.domain)),
-q_f AS (SELECT unnest(p) AS id, CASE WHEN len(p) <= 2 THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END AS f FROM q_loops UNION ALL SELECT a, 0.3::DOUBLE FROM q_trips UNION ALL SELECT b, 0.3::DOUBLE FROM q_trips UNION ALL SELECT s, 0.1::DOUBLE FROM q_c WHERE s = t UNION ALL SELECT s, 0.5::DOUBLE FROM q_same UNION ALL SELECT t, 0.6::DOUBLE FROM q_same),
+q_f AS (SELECT unnest(p) AS id, CASE WHEN len(p) <= 2 THEN 0.2::DOUBLE WHEN len(p) = 3 THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END AS f FROM q_loops UNION ALL SELECT a, 0.3::DOUBLE FROM q_trips UNION ALL SELECT b, 0.3::DOUBLE FROM q_trips UNION ALL SELECT s, 0.1::DOUBLE FROM q_c WHERE s = t UNION ALL SELECT s, 0.5::DOUBLE FROM q_same UNION ALL SELECT t, 0.6::DOUBLE FROM q_same),
 q_pen AS (SELECT p.id AS page_id, round(least(1, coalesce(exp(sum(ln(f))), 1)), 9) AS penalty FROM g_pages p LEFT JOIN q_f ON q_f.id = p.id GROUP BY 1)
 """
 on_graph("G12_citation_penalties", lambda g: gr.citation_penalties(g, 5).select("page_id", F.round("penalty", 6).alias("penalty")), LOOPS + "SELECT page_id, round(penalty, 6) AS penalty FROM q_pen")

@@ -168,7 +168,7 @@ def x1(spark, sf_dir):
     return ev.similar_queries(u.where("conv_id % 100 = 0").select(col("conv_id").alias("query_id"), "w"), u)
 
 
-on_graph("G24_entity_relations", lambda g: g.cites.select(F.col("source_id").alias("entity"), F.col("target_id").alias("neighbour")), "SELECT source_id AS entity, target_id AS neighbour FROM g_cites WHERE source_id % 100 = 1")
+on_graph("G24_entity_relations", lambda g: g.cites.select(F.col("source_id").alias("entity"), F.col("target_id").alias("neighbour")), "SELECT source_id AS entity, target_id AS neighbour FROM g_cites")
 on_graph("G25_bfs", lambda g: ev.bfs(g.pages.where("id = 1").select("id"), g.cites.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), (F.col("target_id") % 10 / 10).alias("priority"))), """
 q_1 AS (SELECT target_id AS id FROM g_cites WHERE source_id = 1 AND target_id <> 1 GROUP BY 1 ORDER BY max(target_id % 10) DESC, 1 LIMIT 50),
 q_2 AS (SELECT target_id AS id FROM g_cites WHERE source_id IN (SELECT id FROM q_1) AND target_id <> 1 AND target_id NOT IN (SELECT id FROM q_1) GROUP BY 1 ORDER BY max(target_id % 10) DESC, 1 LIMIT 50)

@@ -123,7 +123,7 @@ def h10(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ru.phrase_repetitions(col("text")).alias("repetitions"))
 
 
-@query("H13_page_state", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'login' WHEN page_id % 4 = 1 THEN 'challenge' ELSE 'content' END AS state FROM pages WHERE html NOT ILIKE '%cookie%' AND html NOT ILIKE '%captcha%'")
+@query("H13_page_state", "WITH p AS (SELECT page_id, lower(html || CASE page_id % 4 WHEN 0 THEN '<form action=\"/login\"><input type=\"password\"></form>' WHEN 1 THEN 'Checking your browser' ELSE '' END) AS h FROM pages) SELECT page_id, CASE WHEN regexp_matches(h, '" + ru.CHALLENGE + "') THEN 'challenge' WHEN regexp_matches(h, '" + ru.PASSWORD.replace("'", "''") + "') AND regexp_matches(h, '" + ru.LOGIN + "') THEN 'login' WHEN regexp_matches(h, '" + ru.COOKIE + "') THEN 'cookie' ELSE 'content' END AS state FROM p")
 def h13(spark, sf_dir):
     p = col("page_id") % 4
     h = F.concat("html", F.when(p == 0, '<form action="/login"><input type="password"></form>').when(p == 1, "Checking your browser").otherwise(""))
