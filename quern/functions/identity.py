@@ -86,7 +86,7 @@ def source_quality(url: Column, host: Column, source_api: Column, doi: Column, a
 
 # Base priorities of links by their place, and boosts of words in their text.
 LINK_BASE = {"heading": 0.9, "toc": 0.85, "related": 0.8, "body": 0.6, "sidebar": 0.4, "navigation": 0.3, "pagination": 0.2, "unknown": 0.5}
-LINK_WORDS = [(0.1, "detail|more"), (0.1, "document|report|paper"), (0.15, "official|source")]
+LINK_WORDS = [(0.1, ["詳細", "detail", "more", "続き", "全文"]), (0.1, ["資料", "document", "report", "paper"]), (0.15, ["公式", "official", "原文", "source"])]
 
 
 def link_priority(kind: Column, text: Column) -> Column:
@@ -94,7 +94,7 @@ def link_priority(kind: Column, text: Column) -> Column:
     t = F.lower(text)
     out = F.coalesce(base[kind], lit(0.5))
     for boost, words in LINK_WORDS:
-        out = out + F.when(t.rlike(words), lit(boost)).otherwise(lit(0.0))
+        out = out + F.when(t.rlike("|".join(words)), lit(boost)).otherwise(lit(0.0))
     return F.least(lit(1.0), out)
 
 

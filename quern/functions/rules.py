@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,17 +31,48 @@ def table_rows(html: Column) -> Column:
     return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, lit(r"(?is)<t[dh]\b[^>]*>.*?</t[dh]\s*>"), lit(0)), lambda c: clean(c)))
 
 
-# Text by which login and challenge pages are known.
-PASSWORD = r"""type=["']?password"""
-LOGIN = r"""(please (sign|log) in|login required|sign in required|authentication required|must be logged in|need to log in|sign in to continue|id="login|class="login|action="/(login|signin|auth))"""
-CHALLENGE = r"(checking your browser|verify you are human|captcha|just a moment\.\.\.|ddos protection)"
-COOKIE = r"(cookie consent|accept (all )?cookies|we use cookies)"
+# Text by which login walls, challenges and cookie banners are known.
+PASSWORD_FIELDS = ['type="password"', "type='password'", "type=password"]
+LOGIN_FORMS = [
+    'id="login', 'class="login', 'name="login', 'id="signin', 'class="signin', 'action="/login', 'action="/signin', 'action="/auth',
+    'id="ログイン', 'class="ログイン',
+]
+LOGIN_TEXT = [
+    "please sign in", "please log in", "login required", "sign in required", "authentication required", "you must be logged in", "you need to log in", "please login to continue", "sign in to continue",
+    "ログインしてください", "ログインが必要です", "サインインしてください", "会員登録が必要です",
+]
+LOGIN_TITLES = ["<title>login", "<title>log in", "<title>sign in", "<title>signin", "<title>ログイン", "<title>サインイン"]
+CHALLENGES = ["cf-browser-verification", "_cf_chl_opt", "checking your browser before accessing", "please wait while we verify your browser", "ray id:</strong>"]
+CAPTCHAS = [
+    'src="https://hcaptcha.com', 'src="https://www.hcaptcha.com', "data-sitekey=", 'class="h-captcha"', 'class="g-recaptcha"', 'id="captcha-container"', "grecaptcha.execute", "hcaptcha.execute",
+    'class="cf-turnstile"', "challenges.cloudflare.com/turnstile",
+]
+CONSENT_MARKS = [
+    "cookieconsent", "cookie-consent", "cookie_consent", "onetrust", "cookiebot", "cookie-notice", "cookie-banner", "cookie-policy-banner", "gdpr-cookie", "ccpa-notice", "privacy-consent",
+    "consent-banner", "consent-dialog", "consent-modal", 'class="cc-', 'id="cc-', 'class="cky-', 'id="cky-',
+]
+CONSENT_TEXT = [
+    "we use cookies", "this site uses cookies", "this website uses cookies", "accept cookies", "accept all cookies", "cookie settings", "cookie preferences", "manage cookies", "customize cookies",
+    "reject all cookies", "decline cookies", "gdpr compliance", "privacy preferences", "your privacy choices", "do not sell my personal information",
+    "cookieを使用", "クッキーを使用", "cookie設定", "クッキー設定", "すべて許可", "すべて拒否",
+]
+CONSENT_BUTTONS = ["accept all", "accept cookies", "i agree", "i accept", "got it", "ok, i agree", "agree and proceed", "同意する", "許可する", "受け入れる"]
+#: Characters from which on a page with a captcha has it in a form, and with a login title is no login page.
+LARGE, LONG = 10_000, 50_000
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern that finds any of the words as they stand."""
+    return "|".join(re.sub(r"([.*+?()\[\]{}|^$\\])", r"\\\1", w) for w in words)
 
 
 def page_state(html: Column) -> Column:
     """'challenge', 'login', 'cookie' or 'content'."""
-    low = F.lower(html)
-    return F.when(low.rlike(CHALLENGE), "challenge").when(low.rlike(PASSWORD) & low.rlike(LOGIN), "login").when(low.rlike(COOKIE), "cookie").otherwise("content")
+    low, size = F.lower(html), F.length(html)
+    has = lambda words: low.rlike(any_of(words))
+    challenge = has(CHALLENGES) | low.contains("just a moment") & (low.contains("cloudflare") | low.contains("_cf_")) | has(CAPTCHAS) & (size < LARGE)
+    login = has(PASSWORD_FIELDS) & (has(LOGIN_FORMS) | has(LOGIN_TEXT) | (size < LONG) & has(LOGIN_TITLES))
+    return F.when(challenge, "challenge").when(login, "login").when(has(CONSENT_MARKS) | has(CONSENT_TEXT) & has(CONSENT_BUTTONS), "cookie").otherwise("content")
 
 
 def phrase_repetitions(text: Column, shortest: int = 4, longest: int = 8) -> Column:

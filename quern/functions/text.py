@@ -131,16 +131,18 @@ def japanese_share(text: Column) -> Column:
     return share(F.length(text) - F.length(F.regexp_replace(text, r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]", "")), text)
 
 
-# The words that show a claim's polarity and kind, and penalties by issue.
-NEGATIVE = "(not|never|cannot|impossible|false|incorrect|wrong)"
-QUESTION = r"(\?$|^(what|who|when|where|why|how|which))"
-CLAIM_TYPES = [
-    ("temporal", r"(\d{4}/\d{1,2}|when|before|after|during)"),
-    ("quantitative", r"(\d+%|how many|how much|percentage|ratio)"),
-    ("comparative", r"(compared to|than|versus|vs|difference|similar|different)"),
-    ("causal", r"(because|cause|effect|result|impact|why)"),
-    ("definitional", r"(what is|define|definition)"),
-]
+# The patterns that show a claim's polarity and kind, in the order they are sought, and penalties by issue.
+NEGATIVES = ["ない", "しない", "できない", "不可能", "否定", "反対", "誤り", "間違い", "not", "never", "cannot", "impossible", "false", "incorrect", "wrong"]
+QUESTIONS = [r"\?$", r"？$", r"^(what|who|when|where|why|how|which)", r"^(何|誰|いつ|どこ|なぜ|どう|どの)", r"(か|のか|でしょうか)$"]
+KINDS = {
+    "temporal": [r"\d{4}年", r"\d{4}/\d{1,2}", r"(いつ|when|年|月|日|時)", r"(以前|以後|before|after|during)"],
+    "quantitative": [r"\d+%", r"\d+億", r"\d+万", r"(数|量|率|比率|割合)", r"(how many|how much|percentage|ratio)"],
+    "comparative": [r"(より|compared to|than|versus|vs)", r"(比較|違い|difference|similar|different)"],
+    "causal": [r"(なぜ|原因|理由|結果|影響)", r"(because|cause|effect|result|impact|why)", r"(によって|ため|から)"],
+    "definitional": [r"(とは|定義|意味|what is|define|definition)"],
+}
+NEGATIVE, QUESTION = "|".join(NEGATIVES), "|".join(QUESTIONS)
+CLAIM_TYPES = [(k, "|".join(v)) for k, v in KINDS.items()]
 ISSUE_PENALTIES = {"thin_content": (0.3, 0.2), "ad_heavy": (0.2, 0.15), "template_heavy": (0.15, 0.1), "repetitive": (0.2, 0.15), "keyword_stuffing": (0.25, 0.2), "ai_generated": (0.3, 0.25), "seo_spam": (0.35, 0.3), "aggregator": (0.2, 0.15), "clickbait": (0.25, 0.2), "scraper": (0.4, 0.35)}
 
 

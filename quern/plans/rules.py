@@ -123,10 +123,17 @@ def h10(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ru.phrase_repetitions(col("text")).alias("repetitions"))
 
 
-@query("H13_page_state", "WITH p AS (SELECT page_id, lower(html || CASE page_id % 4 WHEN 0 THEN '<form action=\"/login\"><input type=\"password\"></form>' WHEN 1 THEN 'Checking your browser' ELSE '' END) AS h FROM pages) SELECT page_id, CASE WHEN regexp_matches(h, '" + ru.CHALLENGE + "') THEN 'challenge' WHEN regexp_matches(h, '" + ru.PASSWORD.replace("'", "''") + "') AND regexp_matches(h, '" + ru.LOGIN + "') THEN 'login' WHEN regexp_matches(h, '" + ru.COOKIE + "') THEN 'cookie' ELSE 'content' END AS state FROM p")
+#: What is added to pages: a form, walls, challenges, banners, and what is none of these.
+SHOWN = [
+    '<form action="/login"><input type="password"></form>', "Checking your browser before accessing", '<div class="cc-window">', "We use cookies. <b>Got it</b>", '<div class="g-recaptcha">', '<input type="password">',
+    "<input type=password> ログインしてください", "", "Just a moment ... Cloudflare", "accept all", "<title>Log in</title><input type='password'>",
+]
+HAS = lambda words: "regexp_matches(h, '" + ru.any_of(words).replace("'", "''") + "')"
+
+
+@query("H13_page_state", f"WITH p AS (SELECT page_id, lower(html || {SQL_LIST(SHOWN)}[page_id % {len(SHOWN)} + 1]) AS h FROM pages) SELECT page_id, CASE WHEN {HAS(ru.CHALLENGES)} OR (contains(h, 'just a moment') AND (contains(h, 'cloudflare') OR contains(h, '_cf_'))) OR ({HAS(ru.CAPTCHAS)} AND length(h) < 10000) THEN 'challenge' WHEN {HAS(ru.PASSWORD_FIELDS)} AND ({HAS(ru.LOGIN_FORMS)} OR {HAS(ru.LOGIN_TEXT)} OR (length(h) < 50000 AND {HAS(ru.LOGIN_TITLES)})) THEN 'login' WHEN {HAS(ru.CONSENT_MARKS)} OR ({HAS(ru.CONSENT_TEXT)} AND {HAS(ru.CONSENT_BUTTONS)}) THEN 'cookie' ELSE 'content' END AS state FROM p")
 def h13(spark, sf_dir):
-    p = col("page_id") % 4
-    h = F.concat("html", F.when(p == 0, '<form action="/login"><input type="password"></form>').when(p == 1, "Checking your browser").otherwise(""))
+    h = F.concat("html", F.element_at(F.array(*[F.lit(x) for x in SHOWN]), (col("page_id") % len(SHOWN) + 1).cast("int")))
     return table(spark, sf_dir, "pages").select("page_id", ru.page_state(h).alias("state"))
 
 

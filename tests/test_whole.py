@@ -109,7 +109,7 @@ def test_no_row_is_left_out(spark, tmp_path):
     spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     rows = lambda name, key, value: {r[key]: r[value] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
     assert rows("A20_sitemap", "page_id", "locs") == {4 * k + 2: [urls[k % 4]] for k in range(6)}
-    assert rows("H13_page_state", "page_id", "state") == {2: "cookie", 6: "challenge", 10: "cookie", 14: "content", 18: "challenge", 22: "content"}
+    assert rows("H13_page_state", "page_id", "state") == {2: "cookie", 6: "login", 10: "login", 14: "cookie", 18: "content", 22: "login"}
     planted = {k: rules.PLANTED[k * 7 % len(rules.PLANTED)][0] for k in range(4)}
     flagged = {k: bool(re.search("(?i)" + "|".join(security.ORDERS), said[k] + " " + planted[k])) for k in range(4)}
     assert rows("F18_clean_input", "conv_id", "flagged") == flagged and flagged[0]
