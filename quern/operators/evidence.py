@@ -152,14 +152,6 @@ def links(pages: DataFrame) -> DataFrame:
     return d.withColumn("priority", F.round(link_priority(col("kind"), col("text")), 6))
 
 
-def page_type(scores: dict[str, Column], floor: float = 0.1, least: float = 0.5) -> Column:
-    """struct<type, share> of the largest of several scores, 'other' when none is above `least`."""
-    each = F.array(*[F.struct(F.greatest(lit(floor), s).alias("s"), lit(n).alias("n")) for n, s in scores.items()])
-    top = F.array_max(each)
-    total = F.aggregate(F.transform(each, lambda x: x["s"]), lit(0.0), lambda a, x: a + x)
-    return F.struct(F.when(top["s"] > least, top["n"]).otherwise("other").alias("type"), F.round(top["s"] / total, 6).alias("share"))
-
-
 def bfs(start: DataFrame, edges: DataFrame, depth: int = 2, most: int = 50) -> DataFrame:
     """(id, depth): nodes reached over edges(src, dst, priority) within `depth` steps; each step takes the `most` best new ones."""
     from .iteration import settle

@@ -133,13 +133,6 @@ def a16(spark, sf_dir):
     return ev.html_fragments(table(spark, sf_dir, "pages"))
 
 
-@query("H8_page_type", "SELECT page_id, CASE WHEN greatest(a, b, c) > 0.5::DOUBLE THEN CASE greatest(a, b, c) WHEN c THEN 'list' WHEN b THEN 'forum' ELSE 'article' END ELSE 'other' END AS type FROM (SELECT page_id, (page_id % 10)::DOUBLE / 10 AS a, (page_id % 7)::DOUBLE / 10 + 0.01::DOUBLE AS b, (page_id % 5)::DOUBLE / 10 + 0.02::DOUBLE AS c FROM pages)")
-def h8(spark, sf_dir):
-    p = col("page_id")
-    t = ev.page_type({"article": p % 10 / 10, "forum": p % 7 / 10 + 0.01, "list": p % 5 / 10 + 0.02})
-    return table(spark, sf_dir, "pages").select("page_id", t["type"].alias("type"))
-
-
 @query("X36_llm_scores", "SELECT conv_id, turn, CASE WHEN regexp_extract(trim(text), '(\\d+)', 1) <> '' THEN least(10, substr(regexp_extract(trim(text), '(\\d+)', 1), 1, 4)::INT) END AS score, CASE WHEN regexp_replace(upper(text), '[^A-Z]', '', 'g') LIKE 'YES%' THEN 'YES' WHEN regexp_replace(upper(text), '[^A-Z]', '', 'g') LIKE 'NO%' THEN 'NO' END AS answer FROM conversations")
 def x36(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", idn.score_0_10(col("text")).alias("score"), idn.yes_no(col("text")).alias("answer"))
