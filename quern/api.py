@@ -74,6 +74,79 @@ def strip_limit(sql: str) -> str:
     return re.sub(r"\s+LIMIT\s+\d+(?:\s*,\s*\d+|\s+OFFSET\s+\d+)?\s*;?\s*$", "", sql.strip().rstrip(";"), flags=re.IGNORECASE)
 
 
+# Conversions of strftime and what date_format calls them.
+STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%%": "%"}
+
+
+def _call_end(sql: str, start: int) -> tuple[int, list[str]]:
+    """The end of a call whose arguments begin at start, and the arguments."""
+    depth, quote, args, last, i = 1, None, [], start, start
+    while i < len(sql):
+        c = sql[i]
+        if quote:
+            quote = None if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        if not quote and (depth == 0 or (depth == 1 and c == ",")):
+            args.append(sql[last:i].strip())
+            last = i + 1
+            if depth == 0:
+                return i + 1, args if args != [""] else []
+        i += 1
+    raise QueryError("unbalanced parentheses")
+
+
+def _rewritten(name: str, args: list[str]) -> str | None:
+    """What Spark calls a function that it lacks or knows by another name; None to leave a call as it is."""
+    if name == "iif":
+        return f"if({', '.join(args)})"
+    if name == "json_extract" and len(args) == 2:
+        return f"get_json_object({', '.join(args)})"
+    if name == "total" and len(args) == 1:
+        return f"coalesce(cast(sum({args[0]}) as double), 0.0D)"
+    if name == "group_concat" and args:
+        distinct = re.match(r"(?i)distinct\s+", args[0])
+        value = args[0][distinct.end() :] if distinct else args[0]
+        return f"listagg({'DISTINCT ' if distinct else ''}cast({value} as string), {args[1] if len(args) > 1 else repr(',')})"
+    if name in ("datetime", "strftime", "date") and args:
+        at = args[-1] if name != "strftime" else args[1] if len(args) > 1 else "'now'"
+        when = "current_timestamp()" if at.lower() == "'now'" else f"cast({at} as timestamp)"
+        if name == "strftime" and not re.fullmatch(r"'[^']*'", args[0]):
+            raise QueryError("strftime needs a literal format")
+        form = {"datetime": "yyyy-MM-dd HH:mm:ss", "date": "yyyy-MM-dd"}.get(name) or _date_format(args[0][1:-1])
+        return f"date_format({when}, '{form}')" if name == "strftime" or len(args) == 1 else None
+    return None
+
+
+def _date_format(form: str) -> str:
+    out = ""
+    for part in re.findall(r"%.|[A-Za-z]+|[^%A-Za-z]+", form):
+        if part[0] == "%" and part not in STRFTIME:
+            raise QueryError(f"strftime knows no {part}")
+        out += STRFTIME[part] if part[0] == "%" else f"\'\'{part}\'\'" if part.isalpha() else part
+    return out
+
+
+def sqlite_names(sql: str) -> str:
+    """The statement with iif, json_extract, total, group_concat, datetime, date and strftime as Spark has them; literals and quoted names stay. ifnull, instr, substr and printf are Spark's own."""
+    out, i = "", 0
+    token = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|\b(iif|json_extract|total|group_concat|datetime|date|strftime)\s*\(", re.IGNORECASE)
+    while m := token.search(sql, i):
+        out += sql[i : m.start()]
+        if not m[1]:
+            out, i = out + m[0], m.end()
+            continue
+        i, args = _call_end(sql, m.end())
+        args = [sqlite_names(a) for a in args]
+        new = _rewritten(m[1].lower(), args)
+        out += new if new is not None else f"{m[1]}({', '.join(args)})"
+    return out + sql[i:]
+
+
 def hint(message: str) -> str | None:
     if not re.search(r"UNRESOLVED|TABLE_OR_VIEW_NOT_FOUND|cannot be resolved|not found", message):
         return None
@@ -116,7 +189,7 @@ def query_sql(spark: SparkSession, sql: str, limit: int | None = None, timeout_m
     try:
         n, ms = bounded(limit, LIMITS, "limit"), bounded(timeout_ms, TIMEOUTS_MS, "timeout_ms")
         validate_sql(sql)
-        text = strip_limit(sql)
+        text = sqlite_names(strip_limit(sql))
         require_query(spark, text)
         out = fetch(spark.sql(text, args=args) if args else spark.sql(text), n, ms)
     except QueryError as e:
@@ -220,3 +293,37 @@ def vector_search(vectors: DataFrame, query: list[float], top_k: int | None = No
     if "text" in vectors.columns:
         found = found.join(vectors.select("id", F.substring("text", 1, 200).alias("preview")), "id", "left").orderBy(F.desc("similarity"), "id")
     return {"ok": True, "results": [r.asDict() for r in found.collect()], "total_searched": total}
+
+
+@dataclass(frozen=True)
+class Tool:
+    """A callable by name: what runs it and the arguments that it takes, True for required ones."""
+
+    run: Callable[..., dict[str, Any]]
+    description: str
+    args: dict[str, bool] = field(default_factory=dict)
+
+
+def tools(spark: SparkSession, graph: Graph, vectors: DataFrame | None = None) -> dict[str, Tool]:
+    """The query surface by name, over one graph."""
+    out = {
+        "query_sql": Tool(lambda **a: query_sql(spark, **a), "One read-only SQL query", {"sql": True, "limit": False, "timeout_ms": False, "include_schema": False, "args": False}),
+        "query_view": Tool(lambda view, params=None, **a: query_view(graph, view, **a, **(params or {})), "A named view", {"view": True, "task_id": False, "params": False, "limit": False, "timeout_ms": False}),
+        "list_views": Tool(list_views, "The views"),
+        "schema": Tool(lambda: {"ok": True, "tables": schema(spark)}, "Tables and columns"),
+    }
+    if vectors is not None:
+        out["vector_search"] = Tool(lambda **a: vector_search(vectors, **a), "The nearest vectors", {"query": True, "top_k": False, "min_similarity": False})
+    return out
+
+
+def call(registry: dict[str, Tool], name: str, args: dict[str, Any] | None = None) -> dict[str, Any]:
+    """Runs a tool by name; unknown names and wrong or missing arguments come back as errors."""
+    if name not in registry:
+        return {"ok": False, "error": f"Unknown tool {name}; there are {', '.join(sorted(registry))}"}
+    tool, given = registry[name], dict(args or {})
+    if missing := [k for k, required in tool.args.items() if required and given.get(k) is None]:
+        return {"ok": False, "error": f"{name} needs {', '.join(missing)}"}
+    if extra := sorted(set(given) - set(tool.args)):
+        return {"ok": False, "error": f"{name} takes no {', '.join(extra)}"}
+    return tool.run(**given)

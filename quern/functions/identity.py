@@ -66,6 +66,43 @@ def name_parts(name: Column) -> Column:
     return F.struct(F.array_join(core, " ").alias("canonical"), form.alias("legal_form"), F.array_distinct(core).alias("tokens"))
 
 
+# Legal forms as they end, or stand in, a name, and as they begin one; in the order they are sought.
+SUFFIX_FORMS = {
+    "corporation": "corp", "corp.": "corp", "corp": "corp", "incorporated": "inc", "inc.": "inc", "inc": "inc", "limited": "ltd", "ltd.": "ltd", "ltd": "ltd", "company": "co", "co.": "co", "co": "co",
+    "llc": "llc", "l.l.c.": "llc", "plc": "plc", "p.l.c.": "plc", "gmbh": "gmbh", "ag": "ag", "s.a.": "sa", "n.v.": "nv", "b.v.": "bv", "pty": "pty", "pty.": "pty",
+    "株式会社": "KK", "有限会社": "YK", "合同会社": "GK", "合資会社": "GS", "合名会社": "GM", "(株)": "KK", "（株）": "KK", "(有)": "YK", "（有）": "YK",
+}
+PREFIX_FORMS = {"(株)": "KK", "（株）": "KK", "(有)": "YK", "（有）": "YK", "株式会社": "KK", "有限会社": "YK", "合同会社": "GK", "合資会社": "GS", "合名会社": "GM"}
+
+
+def half_width(text: Column) -> Column:
+    """Full-width ASCII and the ideographic space as plain characters."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+    return F.translate(text, wide, "".join(chr(c) for c in range(0x21, 0x7F)) + " ")
+
+
+def normalised_name(name: Column, organisation: bool = True) -> Column:
+    """struct<normalized, canonical, tokens, legal_form, language> of a name; a missing name counts as empty.
+
+    White space is made single and full-width ASCII plain. Of an organisation, the first
+    form that begins the name is taken off, else the first that stands in it as a word;
+    canonical is lower-cased without marks, its form behind it.
+    """
+    raw = F.regexp_replace(F.coalesce(name, lit("")), r"(?U)^\s+|\s+$", "")
+    plain = half_width(F.regexp_replace(raw, r"(?U)\s+", " "))
+    form, rest = lit(None).cast("string"), plain
+    if organisation:
+        tried = [(r"^\Q" + p + r"\E(?=.)", f, "") for p, f in PREFIX_FORMS.items()] + [(r"(?i)(?:^|\s)\Q" + p + r"\E\.?(?:\s|$)", f, " ") for p, f in SUFFIX_FORMS.items()]
+        for p, f, by in reversed(tried):
+            hit = plain.rlike(p)
+            form, rest = F.when(hit, f).otherwise(form), F.when(hit, F.trim(F.regexp_replace(plain, p, by))).otherwise(rest)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(rest), r"(?U)[^\w\s\-']", " "), r"(?U)\s+", " "))
+    canonical = F.when(form.isNotNull(), F.concat(bare, lit(" "), form)).otherwise(bare)
+    tokens = F.filter(F.split(canonical, r"[\s\-]+"), lambda t: t != "")
+    language = F.when(raw.rlike("[\u3040-\u309F\u30A0-\u30FF\u4E00-\u9FFF]"), "ja").when(raw.rlike("[\uAC00-\uD7AF\u1100-\u11FF]"), "ko").when(raw.rlike("[a-zA-Z]"), "en")
+    return F.struct(rest.alias("normalized"), canonical.alias("canonical"), tokens.alias("tokens"), form.alias("legal_form"), language.alias("language"))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """Jaccard of the tokens of two name_parts, a tenth more for the same legal form, at most 1."""
     both = F.size(F.array_intersect(a["tokens"], b["tokens"]))

@@ -24,6 +24,34 @@ def headings(html: Column) -> Column:
     return F.transform(each, lambda x: F.struct(F.regexp_extract(x, r"(?i)<h([1-6])", 1).cast("int").alias("level"), F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"\s+", " ")).alias("text")))
 
 
+def paragraph_headings(html: Column) -> Column:
+    """array<struct<position, hierarchy, context, element>> of the paragraphs, in order.
+
+    hierarchy are the headings that hold there, array<struct<level, text>> from the top
+    down; a heading ends deeper ones, and one without text is none. context is the deepest
+    heading's text, element the place of the paragraph below the last heading.
+    """
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", ""), r"(?U)^\s+|\s+$", "")
+    pieces = F.regexp_extract_all(html, lit(r"(?is)<h([1-6])[^>]*>.*?</h\1>|<p[^>]*>.*?</p>"), lit(0))
+    head = "array<struct<level: int, text: string>>"
+    out = f"array<struct<position: int, hierarchy: {head}, context: string, element: int>>"
+    none = lambda t: F.array().cast(t)
+
+    def step(s: Column, x: Column) -> Column:
+        level = F.when(F.regexp_extract(x, r"(?i)^<h([1-6])", 1) != "", F.regexp_extract(x, r"(?i)^<h([1-6])", 1)).cast("int")
+        text = clean(x)
+        kept = F.filter(s["h"], lambda e: e["level"] < level)
+        h = F.concat(kept, F.array(F.struct(level.alias("level"), text.alias("text"))))
+        row = F.struct(s["n"].alias("position"), s["h"].alias("hierarchy"), F.try_element_at(s["h"], lit(-1))["text"].alias("context"), (s["n"] - s["at"]).alias("element"))
+        heading = F.struct(s["n"].alias("n"), s["n"].alias("at"), h.cast(head).alias("h"), s["out"].alias("out"))
+        paragraph = F.struct((s["n"] + 1).alias("n"), s["at"].alias("at"), s["h"].alias("h"), F.concat(s["out"], F.array(row)).cast(out).alias("out"))
+        return F.when(level.isNull(), paragraph).when(text == "", s).otherwise(heading)
+
+    first = F.struct(lit(0).alias("n"), lit(0).alias("at"), none(head).alias("h"), none(out).alias("out"))
+    kind = f"struct<n: int, at: int, h: {head}, out: {out}>"
+    return F.aggregate(pieces, first.cast(kind), lambda s, x: step(s, x).cast(kind), lambda s: s["out"])
+
+
 def table_rows(html: Column) -> Column:
     """array<array<string>> of the cells of all table rows."""
     rows = F.regexp_extract_all(html, lit(r"(?is)<tr\b.*?</tr\s*>"), lit(0))

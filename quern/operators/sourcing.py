@@ -235,3 +235,41 @@ def task_status(tasks: DataFrame, totals: DataFrame, searches: DataFrame, jobs:
     left = F.greatest(lit(0), F.floor((1 - col("pages") / max(1, limit)) * 100 + 1e-9)).cast("long")
     waiting = F.array_compact(F.array(*[F.when(~c, p) for p, c in drained.items()], F.when(col("pending_auth") > 0, "auth")))
     return d.withColumn("status", mapped).withColumn("remaining_percent", left).withColumn("waiting_for", waiting).withColumns({f"{p}_drained": c for p, c in drained.items()})
+
+
+def candidate_targets(candidates: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """(citation_edge_id, candidate_page_id, kind, target) of reference candidates to queue: those named, or all but those named, the first `limit` by depth and newest citation.
+
+    candidates(citation_edge_id, candidate_page_id, candidate_url, citing_depth,
+    citation_created_at); include and exclude (citation_edge_id) cannot both be given. A
+    DOI in the address makes a target of that kind.
+    """
+    if include is not None and exclude is not None:
+        raise ValueError("name candidates to include or to exclude, not both")
+    d = candidates
+    if include is not None:
+        d = d.join(include.select("citation_edge_id"), "citation_edge_id", "left_semi")
+    if exclude is not None:
+        d = d.join(exclude.select("citation_edge_id"), "citation_edge_id", "left_anti")
+    doi = ur.identifiers(col("candidate_url"))["doi"]
+    d = d.orderBy("citing_depth", F.desc("citation_created_at"), "citation_edge_id").limit(limit)
+    return d.select("citation_edge_id", "candidate_page_id", F.when(doi.isNotNull(), "doi").otherwise("url").alias("kind"), F.coalesce(doi, "candidate_url").alias("target"))
+
+
+def claim_feedback(claims: DataFrame, feedback: DataFrame) -> DataFrame:
+    """claims(id, status) after feedback(id, action, reason, at): the last one of each claim rejects or restores it, and says when and why; only a rejection has a reason."""
+    last = feedback.where(col("action").isin("reject", "restore")).groupBy("id").agg(F.max_by(F.struct("action", "reason", "at"), F.struct("at", "action")).alias("__f"))
+    d = claims.select("id", "status").join(last, "id", "left")
+    no = col("__f.action") == "reject"
+    return d.select("id", F.when(col("__f").isNull(), col("status")).when(no, "not_adopted").otherwise("adopted").alias("status"), F.when(no, col("__f.reason")).alias("reason"), col("__f.at").alias("at"))
+
+
+def cancel_jobs(jobs: DataFrame, stops: DataFrame) -> DataFrame:
+    """jobs(id, task_id, kind, state) after stops(task_id, mode, scope): queued ones are cancelled, running ones too unless the mode is graceful, of target_queue only or of all kinds by scope.
+
+    Of several stops of a task each counts.
+    """
+    s = stops.groupBy("task_id").agg(*[F.max((col("scope") == "all_jobs") & m).alias(f"__all_{n}") for n, m in (("queued", lit(True)), ("running", col("mode") != "graceful"))], *[F.max(m).alias(f"__own_{n}") for n, m in (("queued", lit(True)), ("running", col("mode") != "graceful"))])
+    own = col("kind") == "target_queue"
+    gone = F.coalesce(*[F.when(col("state") == n, col(f"__all_{n}") | (own & col(f"__own_{n}"))) for n in ("queued", "running")], lit(False))
+    return jobs.join(s, "task_id", "left").select("id", "task_id", "kind", F.when(gone, "cancelled").otherwise(col("state")).alias("state"))

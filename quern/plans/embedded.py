@@ -10,7 +10,7 @@ from quern.operators import reports as rp
 from quern.operators import views as v
 from quern.sources.graph import table
 
-from .registry import on_graph, query
+from .registry import BRIDGE_SQL, on_graph, query
 from .relational import AUTHOR, LOCATED, SUMMARY
 
 TOP = "ORDER BY evidence_count DESC, refute_count DESC, nli_claim_support_ratio DESC, claim_id"
@@ -154,7 +154,32 @@ q_pen AS (SELECT p.id AS page_id, round(least(1, coalesce(exp(sum(ln(f))), 1)),
 on_graph("G12_citation_penalties", lambda g: gr.citation_penalties(g, 5).select("page_id", F.round("penalty", 6).alias("penalty")), LOOPS + "SELECT page_id, round(penalty, 6) AS penalty FROM q_pen")
 on_graph("G13_integrity", lambda g: gr.integrity(g, 5), LOOPS + """, q_bad AS (SELECT unnest(p) AS id FROM q_loops UNION SELECT a FROM q_trips UNION SELECT b FROM q_trips UNION SELECT s FROM q_same UNION SELECT s FROM q_c WHERE s = t)
 SELECT (SELECT count(*) FROM g_pages) AS pages, (SELECT count(*) FROM q_bad) AS problematic, (SELECT count(*) FROM q_pen WHERE penalty < 0.9) AS penalised, round(1 - (SELECT count(*) FROM q_bad)::DOUBLE / (SELECT count(*) FROM g_pages), 3) AS integrity""")
-on_graph("G22_claim_relations", lambda g: gr.claim_relations(g, 1), LOCATED + """, q_t AS (SELECT DISTINCT claim_id, fragment_id, page_id FROM q_located WHERE task_id = 1 AND relation IN ('supports', 'origin')),
+on_graph("G22_claim_relations", lambda g: gr.claim_relations(g, 1), LOCATED + """, q_t AS (SELECT DISTINCT claim_id, fragment_id, page_id FROM q_located WHERE task_id = 1),
 q_pairs AS (SELECT a.claim_id AS a, b.claim_id AS b, 1 AS kind FROM q_t a JOIN q_t b ON a.fragment_id = b.fragment_id AND a.claim_id < b.claim_id UNION ALL SELECT a.claim_id, b.claim_id, 2 FROM q_t a JOIN q_t b ON a.page_id = b.page_id AND a.claim_id < b.claim_id)
 SELECT a AS claim_a, b AS claim_b, CASE min(kind) WHEN 1 THEN 'co_fragment' ELSE 'co_page' END AS kind, CASE min(kind) WHEN 1 THEN 0.9 ELSE 0.6 END::DOUBLE AS weight FROM q_pairs GROUP BY 1, 2""")
 
+
+
+def near_claims(spark, sf_dir):
+    from quern.operators.ranking import knn
+    from quern.sources.graph import bridge
+
+    g = bridge(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(g.claims.where("task_id = 1").select("id"), "id", "left_semi")
+    return gr.claim_relation_graph(g, 1, knn(v, 1 << 30, 0.2), 2, 0.2, 400)
+
+
+def _near_sql() -> str:
+    dot = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: {0}.embedding[i]::DOUBLE * {1}.embedding[i]::DOUBLE))".format
+    return f"""{BRIDGE_SQL.rstrip()},
+{LOCATED.lstrip()}, q_t AS (SELECT DISTINCT claim_id, fragment_id, page_id FROM q_located WHERE task_id = 1),
+q_pairs AS (SELECT a.claim_id AS a, b.claim_id AS b, 1 AS kind FROM q_t a JOIN q_t b ON a.fragment_id = b.fragment_id AND a.claim_id < b.claim_id UNION ALL SELECT a.claim_id, b.claim_id, 2 FROM q_t a JOIN q_t b ON a.page_id = b.page_id AND a.claim_id < b.claim_id),
+q_close AS (SELECT a AS claim_a, b AS claim_b, min(kind) AS kind FROM q_pairs GROUP BY 1, 2), q_v AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id IN (SELECT id FROM g_claims WHERE task_id = 1)),
+q_s AS (SELECT a.id AS a, b.id AS b, round({dot("a", "b")} / sqrt({dot("a", "a")} * {dot("b", "b")}), 9) AS s FROM q_v a, q_v b WHERE a.id <> b.id),
+q_k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM q_s WHERE s >= 0.2 AND (least(a, b), greatest(a, b)) NOT IN (SELECT (claim_a, claim_b) FROM q_close)),
+q_n AS (SELECT least(a, b) AS claim_a, greatest(a, b) AS claim_b, round(max(s), 3) AS weight FROM q_k WHERE k <= 2 GROUP BY 1, 2)
+SELECT * FROM (SELECT claim_a, claim_b, 'co_fragment' AS kind, 0.9::DOUBLE AS weight FROM q_close WHERE kind = 1 ORDER BY 1, 2 LIMIT 140) UNION ALL SELECT * FROM (SELECT claim_a, claim_b, 'co_page', 0.6::DOUBLE FROM q_close WHERE kind = 2 ORDER BY 1, 2 LIMIT 100)
+UNION ALL SELECT * FROM (SELECT claim_a, claim_b, 'semantic_sim', weight FROM q_n ORDER BY weight DESC, 1, 2 LIMIT 160)"""
+
+
+query("G22b_claim_relation_graph", _near_sql())(near_claims)

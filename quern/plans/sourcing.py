@@ -319,3 +319,62 @@ BING = [g.replace(" after:2024-01", "") for g in GOOGLE]
 def x46(spark, sf_dir):
     p = qu.parse_operators(pick(ASKED, col("conv_id")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", qu.write_query(p, "Google").alias("google"), qu.write_query(p, "bing").alias("bing"))
+
+
+CANDIDATES = """
+q_k AS (SELECT e.id AS citation_edge_id, p.id AS candidate_page_id, p.url AS candidate_url, tp.depth, e.created_at FROM g_cites e JOIN g_pages p ON e.target_id = p.id JOIN g_task_pages tp ON tp.page_id = e.source_id AND tp.task_id = 1
+WHERE p.url NOT ILIKE 'javascript:%' AND p.url NOT ILIKE 'mailto:%' AND p.id NOT IN (SELECT page_id FROM g_task_pages WHERE task_id = 1)
+AND p.id NOT IN (SELECT f.page_id FROM g_fragments f JOIN g_origin o ON o.source_id = f.id JOIN g_claims c ON c.id = o.target_id AND c.task_id = 1))
+"""
+
+
+def candidates(g):
+    from quern.operators import views as vw
+
+    return vw.reference_candidates(g, 1)
+
+
+def shown(d):
+    return d.select("citation_edge_id", "candidate_page_id", "kind", "target")
+
+
+on_graph("S28b_queued_candidates", lambda g: shown(so.candidate_targets(candidates(g), exclude=g.cites.where("source_id % 7 = 0").select(col("id").alias("citation_edge_id")), limit=25)), CANDIDATES.lstrip() + ", q_x AS (SELECT id FROM g_cites WHERE source_id % 7 = 0) SELECT citation_edge_id, candidate_page_id, 'url' AS kind, candidate_url AS target FROM q_k WHERE citation_edge_id NOT IN (SELECT id FROM q_x) ORDER BY depth, created_at DESC, citation_edge_id LIMIT 25")
+
+
+@query("S32b_claim_feedback", "WITH f AS (SELECT user_id AS id, event_type AS k, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, k) AS n FROM events WHERE event_type IN ('error', 'signup') AND event_id % 3 = 0), u AS (SELECT DISTINCT user_id AS id FROM events) SELECT u.id, CASE WHEN f.k IS NULL THEN 'new' WHEN f.k = 'error' THEN 'not_adopted' ELSE 'adopted' END AS status, CASE WHEN f.k = 'error' THEN 'r' || f.event_id END AS reason, f.ts AS \"at\" FROM u LEFT JOIN f ON f.id = u.id AND f.n = 1")
+def s32b(spark, sf_dir):
+    e, k = events(spark, sf_dir), col("event_type")
+    f = e.where(k.isin("error", "signup") & (col("event_id") % 3 == 0)).select(col("user_id").alias("id"), F.when(k == "error", "reject").otherwise("restore").alias("action"), F.concat(lit("r"), s(col("event_id"))).alias("reason"), col("ts").alias("at"))
+    return so.claim_feedback(e.select(col("user_id").alias("id"), lit("new").alias("status")).distinct(), f)
+
+
+@query("S39b_stopped_jobs", JOBS_SQL.rstrip() + ", j AS (SELECT id, id % 6 AS task_id, CASE kind WHEN 'click' THEN 'target_queue' ELSE kind END AS kind, state FROM jobs) SELECT id, task_id, kind, CASE WHEN state = 'queued' AND (task_id IN (1, 3) OR task_id IN (0, 2) AND kind = 'target_queue') OR state = 'running' AND (task_id = 3 OR task_id = 2 AND kind = 'target_queue') THEN 'cancelled' ELSE state END AS state FROM j")
+def s39b(spark, sf_dir):
+    j = jobs(spark, sf_dir).select("id", (col("id") % 6).alias("task_id"), F.when(col("kind") == "click", "target_queue").otherwise(col("kind")).alias("kind"), "state")
+    stops = spark.createDataFrame([(0, "graceful", "target_queue_only"), (1, "graceful", "all_jobs"), (2, "immediate", "target_queue_only"), (3, "full", "all_jobs")], "task_id long, mode string, scope string")
+    return so.cancel_jobs(j, stops)
+
+
+@query("H2b_paragraph_headings", """WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>.*?</h1>|<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>|<h4[^>]*>.*?</h4>|<h5[^>]*>.*?</h5>|<h6[^>]*>.*?</h6>|<p[^>]*>.*?</p>') AS x FROM pages), y AS (SELECT page_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM x), z AS (SELECT *, nullif(regexp_extract(x, '(?i)^<h([1-6])', 1), '')::INT AS level, trim(regexp_replace(x, '<[^>]+>', '', 'g')) AS text FROM y),
+h AS (SELECT * FROM z WHERE level IS NOT NULL AND text <> ''), p AS (SELECT page_id, i, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS position FROM z WHERE level IS NULL),
+l AS (SELECT p.*, h.i AS hi, h.level, h.text, (SELECT min(k.level) FROM h k WHERE k.page_id = p.page_id AND k.i > h.i AND k.i < p.i) AS later FROM p JOIN h ON h.page_id = p.page_id AND h.i < p.i),
+n AS (SELECT page_id, position, string_agg(level || ' ' || text, ' / ' ORDER BY level) FILTER (later IS NULL OR later > level) AS headings, arg_max(text, hi) AS context, position - (SELECT count(*) FROM p q WHERE q.page_id = l.page_id AND q.i < max(l.hi)) AS element FROM l GROUP BY 1, 2)
+SELECT p.page_id, p.position, coalesce(headings, '') AS headings, context, coalesce(element, p.position) AS element FROM p LEFT JOIN n ON n.page_id = p.page_id AND n.position = p.position""")
+def h2b(spark, sf_dir):
+    from quern.functions import rules as ru
+
+    d = table(spark, sf_dir, "pages").select("page_id", F.explode(ru.paragraph_headings(col("html"))).alias("p"))
+    headings = F.array_join(F.transform("p.hierarchy", lambda h: F.concat(s(h["level"]), lit(" "), h["text"])), " / ")
+    return d.select("page_id", col("p.position").cast("long").alias("position"), headings.alias("headings"), "p.context", col("p.element").cast("long").alias("element"))
+
+
+NAMES = ["Acme Corp.", "ACME  Corporation", "株式会社山田", "山田 株式会社", "（株）テスト", "Ｆｏｏ Ltd", "Smith & Co. Group", "O'Neil-Ray LLC", "한국 회사", "", "123"]
+NAMED = [("acme corp", "corp", "en"), ("acme corp", "corp", "en"), ("山田 KK", "KK", "ja"), ("山田 KK", "KK", "ja"), ("テスト KK", "KK", "ja"), ("foo ltd", "ltd", "en"), ("smith group co", "co", "en"), ("o'neil-ray llc", "llc", "en"), ("한국 회사", None, "ko"), ("", None, None), ("123", None, None)]
+
+
+@query("F9_names", f"SELECT conv_id, turn, role, {sql_pick([n[0] for n in NAMED], 'conv_id')} AS canonical, {sql_pick([n[1] for n in NAMED], 'conv_id')} AS legal_form, {sql_pick([n[2] for n in NAMED], 'conv_id')} AS language FROM conversations")
+def f9(spark, sf_dir):
+    from quern.functions import identity as idn
+
+    n = idn.normalised_name(pick(NAMES, col("conv_id")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", n["canonical"].alias("canonical"), n["legal_form"].alias("legal_form"), n["language"].alias("language"))

@@ -20,3 +20,8 @@ def session(app: str = "quern", master: str | None = None, **conf: str) -> Spark
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def isolated(spark: SparkSession) -> SparkSession:
+    """A session of its own temporary views, functions and settings on the same cluster, as tests want."""
+    return spark.newSession()
