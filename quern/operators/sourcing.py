@@ -24,14 +24,17 @@ def _present(c: Column) -> Column:
 def route_rows(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """rows(id, url) with doi, route, api and api_id: rows with an identifier are complemented by a service, others fetched.
 
-    crosswalk(kind, value, doi) gives DOIs of PMC, PubMed and arXiv ids. An OpenAlex or
+    crosswalk(kind, value, doi) gives DOIs of PMC, PubMed and arXiv ids, the first that an
+    address holds. An OpenAlex or
     Semantic Scholar id goes before the DOI, the DOI before PubMed and arXiv ids. A PMC id
     without a DOI can be asked of no service and is fetched.
     """
     d = rows.select("id", "url", *[c.alias(k) for k, c in ur.identifiers(col("url")).items() if k in ("doi", "pmid", "pmcid", "arxiv", "openalex", "s2")])
-    for kind in ("pmcid", "pmid", "arxiv"):
-        known = crosswalk.where(col("kind") == kind).groupBy(col("value").alias(kind)).agg(F.min("doi").alias("__d"))
-        d = d.join(known, kind, "left").withColumn("doi", F.coalesce("doi", "__d")).drop("__d")
+    kinds = ("pmcid", "pmid", "arxiv")
+    # rows without such an id get a key of their own, lest they meet in one task
+    key = F.coalesce(*[F.concat(lit(k + ":"), k) for k in kinds], F.concat(lit("none:"), F.xxhash64("id", "url").cast("string")))
+    known = crosswalk.where(col("kind").isin(*kinds)).groupBy(F.concat("kind", lit(":"), "value").alias("__k")).agg(F.min("doi").alias("__d"))
+    d = d.withColumn("__k", key).join(known, "__k", "left").withColumn("doi", F.coalesce("doi", "__d"))
     tag = lambda p, c: F.concat(lit(p), c)
     ask = F.coalesce(tag("openalex:", col("openalex")), tag("s2:", col("s2")), tag("DOI:", col("doi")), tag("PMID:", col("pmid")), tag("ArXiv:", col("arxiv")))
     api = F.when(col("openalex").isNotNull(), "openalex").when(ask.isNotNull(), "semantic_scholar")
@@ -50,8 +53,10 @@ def complement(routes: DataFrame, papers: DataFrame) -> DataFrame:
     short = _present(col("p.abstract")).isNull()
     other = F.when(col("api") == "openalex", F.struct(lit("semantic_scholar").alias("a"), F.concat(lit("DOI:"), doi).alias("k"))).otherwise(F.struct(lit("openalex").alias("a"), F.concat(lit("https://doi.org/"), doi).alias("k")))
     d = d.withColumn("__o", F.when(short & doi.isNotNull(), other))
-    q = p.select(col("api").alias("__a"), col("api_id").alias("__k"), col("p").alias("q"))
-    d = d.join(q, (col("__o.a") == col("__a")) & (col("__o.k") == col("__k")), "left")
+    # rows that ask no other service get a key of their own, lest they meet in one task
+    d = d.withColumn("__a", col("__o.a")).withColumn("__k", F.coalesce("__o.k", F.concat(lit("none:"), F.xxhash64("id", "api_id").cast("string"))))
+    q = p.select(F.concat("api", lit(" "), "api_id").alias("__key"), col("p").alias("q"))
+    d = d.withColumn("__key", F.concat(F.coalesce("__a", lit("")), lit(" "), "__k")).join(q, "__key", "left")
     got = F.coalesce("q", "p")
     return d.where(got.isNotNull()).select("id", F.when(col("q").isNotNull(), col("__a")).otherwise(col("api")).alias("api"), got["paper_id"].alias("paper_id"), got["abstract"].alias("abstract"))
 
@@ -169,7 +174,9 @@ def ingest_plan(targets: DataFrame, pages: DataFrame, claimed: DataFrame) -> Dat
     """
     p = pages.groupBy("url").agg(F.min(F.struct("page_id", "html_path")).alias("p"))
     d = targets.select("task_id", "url").distinct().join(p, "url", "left").select("task_id", "url", "p.page_id", "p.html_path")
-    d = d.join(claimed.select("task_id", "page_id", lit(True).alias("__c")).distinct(), ["task_id", "page_id"], "left")
+    # by address, since unknown pages have no id and would meet in one task
+    c = claimed.select("task_id", "page_id").distinct().join(p.select("url", "p.page_id"), "page_id").select("task_id", "url", lit(True).alias("__c"))
+    d = d.join(c, ["task_id", "url"], "left")
     action = F.when(col("page_id").isNull(), "ingest").when(col("__c"), "skip").when(_present(col("html_path")).isNull(), "fetch").otherwise("reprocess")
     return d.select("task_id", "url", "page_id", action.alias("action"))
 
