@@ -137,7 +137,15 @@ def page_features(pages: DataFrame) -> DataFrame:
     d = d.withColumn("__l", F.lower("__h")).withColumn("__t", F.length(F.trim(F.regexp_replace(F.regexp_replace("__h", "<[^>]+>", ""), r"(?U)\s+", " "))))
     inside = F.transform(F.regexp_extract_all("__h", lit(r"(?is)<a[^>]*>(.*?)</a>"), lit(1)), lambda x: F.length(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), r"(?U)^\s+|\s+$", "")))
     links = F.aggregate(inside, lit(0), lambda a, n: a + n)
-    flags = {n: col("__l").rlike(any_of(p)) for n, p in FLAGS.items()}
+    # values of class attributes are taken out once, so that most patterns see little text
+    d = d.withColumn("__c", F.array_join(F.regexp_extract_all("__l", lit(r"""c(?=lass=["']([^"']*))"""), lit(1)), "\n"))
+
+    def raised(patterns: list[str]) -> Column:
+        names, rest = [p.removeprefix(CLASS) for p in patterns if p.startswith(CLASS)], [p for p in patterns if not p.startswith(CLASS)]
+        tests = [c.rlike(any_of(ps)) for c, ps in ((col("__c"), names), (col("__l"), rest)) if ps]
+        return tests[0] if len(tests) == 1 else tests[0] | tests[1]
+
+    flags = {n: raised(p) for n, p in FLAGS.items()}
     counts = {n: F.regexp_count("__l", lit(p)).cast("long") for n, p in COUNTS.items()}
     flags["has_charts_tables"] = flags.pop("has_charts") | (counts.pop("table_count") >= 3)
     og = F.regexp_extract("__l", OG_TYPE, 1)
