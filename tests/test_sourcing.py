@@ -5,6 +5,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import compare
+from quern import plans
 from quern.functions import queries as qu
 from quern.operators import policy as po
 from quern.operators import sourcing as so
@@ -36,6 +38,14 @@ def test_complement_asks_the_other_service_only_without_abstract(spark):
     assert rows(so.complement(routes, papers)) == [(1, "semantic_scholar", "p1", "text"), (2, "openalex", "q2", None), (3, "semantic_scholar", "q3", "found"), (5, "openalex", "q5", "only here")]
 
 
+@pytest.mark.parametrize("name", ["X13_routed_rows", "X13b_complemented"])
+def test_rows_that_share_an_address_equal_their_sql(spark, tmp_path, name):
+    # arXiv addresses repeat every 700,000 events
+    ids = [k + 700_000 * n for k in (1, 2, 3, 7, 10, 24, 45, 66) for n in range(4)]
+    spark.createDataFrame([(k,) for k in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert compare(spark, str(tmp_path), plans.QUERIES[name], plans.ORACLE[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")) is None
+
+
 @pytest.mark.parametrize(("direction", "depth", "want"), [("references", 1, {(1, 2)}), ("citations", 1, {(9, 1)}), ("both", 1, {(1, 2), (9, 1)}), ("references", 3, {(1, 2), (2, 3), (3, 1)}), ("both", 2, {(1, 2), (9, 1), (2, 3), (9, 8), (3, 1)}), ("both", 0, set())])
 def test_citation_graph(spark, direction, depth, want):
     edges = [(1, 2), (2, 3), (3, 1), (9, 1), (9, 8), (7, 6)]
