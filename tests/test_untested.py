@@ -158,3 +158,17 @@ def test_entity_matches(spark):
     s = {r.s_name: r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
     want = {name + (" Inc." if k % 2 == 0 else " LTD"): (k, 1.0) for name, k in s.items()}
     assert got == want
+
+
+def test_known_names_are_not_compared_with_similar_ones(spark, monkeypatch):
+    from quern.functions import identity
+    from quern.operators import evidence as ev
+
+    e = lambda rows, schema: spark.createDataFrame(rows, schema)
+    names = [("Acme North Inc.",), ("The Acme",)]
+    entities, aliases = e([(1, "Acme North"), (2, "Acme South")], "id long, name string"), e([(2, "The Acme")], "entity_id long, alias string")
+    near = {(r.name, r.entity) for r in ev.entity_matches(e([*names, ("Acme North South",)], "name string"), entities, aliases, 0.6).collect()}
+    assert near == {("Acme North Inc.", 1), ("The Acme", 2), ("Acme North South", 1)}
+    monkeypatch.setattr(identity, "name_similarity", lambda a, b: F.raise_error(F.concat(F.lit("compared "), a["canonical"])).cast("double"))
+    got = ev.entity_matches(e(names, "name string"), entities, aliases)
+    assert {(r.name, r.entity, r.score) for r in got.collect()} == {("Acme North Inc.", 1, 1.0), ("The Acme", 2, 0.95)}
