@@ -228,7 +228,7 @@ def paths(scores: list[np.ndarray]) -> list[np.ndarray]:
         best = v[np.arange(k), top] - SWITCH
         keep = v >= best[:, None]
         stay.append(keep)
-        jump.append(top)
+        jump.append(top.astype(np.uint16))
         v = np.maximum(v, best[:, None]) + flat[start[:k] + t]
     final[: len(v)] = v.argmax(axis=1)
     labels = np.zeros(len(flat), np.int64)
