@@ -80,7 +80,7 @@ def x33(spark, sf_dir):
 @query("X38_dedup_report", f"WITH RECURSIVE {EXACT}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, reach) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach), l AS (SELECT id, min(reach) AS cluster FROM r GROUP BY 1), c AS (SELECT count(*) AS clusters, coalesce(sum(n - 1), 0) AS copies FROM (SELECT count(*) AS n FROM l GROUP BY cluster) WHERE n > 1) SELECT (SELECT count(*) FROM documents) AS original_count, ((SELECT count(*) FROM documents) - copies)::BIGINT AS deduplicated_count, clusters, round(copies::DOUBLE / (SELECT count(*) FROM documents), 9) AS duplicate_ratio FROM c")
 def x38(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select(col("doc_id").alias("id"), "text")
-    return ex.dedup_report(t, dd.clusters(dd.exact_pairs(t)))
+    return ex.dedup_report(t, dd.linked(*dd.exact_classes(t)))
 
 
 AUTH = JOBS_SQL + ", a AS (SELECT id, CASE WHEN id % 9 > 0 THEN 'd' || id % 40 END AS domain, kind AS auth_type, CASE priority WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, queued_at FROM jobs WHERE state = 'queued') "
