@@ -6,9 +6,11 @@ from collections import deque
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern import plans
 from quern.functions import security
+from quern.operators.graph import betweenness
 from quern.plans import rules
 from quern.sources.graph import bridge
 
@@ -47,6 +49,25 @@ def test_betweenness_of_all_citations(spark):
     assert got == pytest.approx({k: v / ((n - 1) * (n - 2)) for k, v in want.items()}, abs=1e-9)
 
 
+def test_betweenness_of_more_than_two_million_edges(spark):
+    roots, middle, ends = 3, 64, 32_000
+    ids = lambda kind, n: spark.range(n).select(F.concat(F.lit(kind), F.col("id").cast("string")).alias(kind))
+    m = ids("m", middle)
+    edges = ids("r", roots).crossJoin(m).toDF("src", "dst").union(m.crossJoin(ids("e", ends)).toDF("src", "dst"))
+    rows = betweenness(edges, normalised=False).groupBy(F.substring("id", 1, 1).alias("kind"), "betweenness").count().collect()
+    # each pair of a root and an end is joined by as many paths as there are nodes in the middle
+    assert sorted(map(tuple, rows)) == [("e", 0.0, ends), ("m", roots * ends / middle, middle), ("r", 0.0, roots)]
+
+
+def test_betweenness_of_odd_edges(spark):
+    kind = "src string, dst string"
+    edges = [("a", "b"), ("a", "b"), ("b", "b"), ("b", "c"), ("c", None), (None, "a"), ("é", "b"), ("c", "a")]
+    got = {r.id: r.betweenness for r in betweenness(spark.createDataFrame(edges, kind), normalised=False).collect()}
+    assert got == {"a": 1.0, "b": 3.0, "c": 2.0, "é": 0.0}
+    assert betweenness(spark.createDataFrame([], kind)).collect() == []
+    assert [tuple(r) for r in betweenness(spark.createDataFrame([("a", "a")], kind)).collect()] == [("a", 0.0)]
+
+
 def test_relations_of_all_entities(spark):
     got = [tuple(r) for r in plans.QUERIES["G24_entity_relations"](spark, SF).select("entity", "neighbour").collect()]
     assert sorted(got) == sorted((r.source_id, r.target_id) for r in bridge(spark, SF).cites.collect())
